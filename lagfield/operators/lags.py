@@ -43,10 +43,10 @@ def with_lag_geometry(maps):
     ).drop("pixel_um", "dwell_s", "line_s")
 
 
-def fit_maps_eval(maps, fits, model, keys=KEYS, **psf):
+def fit_maps_eval(maps, fits, model, keys=KEYS, carry=(), **psf):
     """Model and residual (model - data) maps for fitted parameters.
 
-    The residual at the zero lag is 0.
+    The residual at the zero lag is 0.  ``carry`` names map columns to keep.
     """
     parameters = fits.select(*keys, "amplitude", "diff_coeff", "offset")
     value = model_value(
@@ -62,6 +62,7 @@ def fit_maps_eval(maps, fits, model, keys=KEYS, **psf):
         "g",
         "model_g",
         F.when(zero, F.lit(0.0)).otherwise(F.col("model_g") - F.col("g")).alias("residual"),
+        *carry,
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lagfield.functions.physics import particle_number
 from lagfield.operators.detrend import check_window
 from lagfield.operators.fit import fit_maps
-from lagfield.operators.geometry import crop_center, fast_axis, median_filter3, with_distance
+from lagfield.operators.geometry import blank_zero_lag, crop_center, fast_axis, median_filter3, with_distance
 from lagfield.operators.lags import attach_acq, fit_maps_eval, with_acq, with_lag_geometry
 from lagfield.operators.layout import as_frames, stack_shape
 from lagfield.operators.reduce import finish_sums, partial_sums
@@ -94,11 +94,7 @@ def local_fast_axis(maps, fits, model="2D", keys=KEYS, **psf):
     renamed = fits.where(F.col("status") == "ok").select(
         *tile_keys, F.col("amp").alias("amplitude"), F.col("d").alias("diff_coeff"), "offset"
     )
-    row = fast_axis(maps)
-    curves = fit_maps_eval(row, renamed, model, tile_keys, **psf)
-    distance = row.select(*tile_keys, "dx", "pixel_size_nm")
-    zero = F.col("dx") == 0
-    joined = curves.join(distance, [*tile_keys, "dx"])
-    return with_distance(joined.withColumn("pixel_um", F.col("pixel_size_nm") * 1e-3), "pixel_um").select(
-        *tile_keys, "dx", "distance_um", F.when(zero, 0.0).otherwise(F.col("g")).alias("g"), "model_g"
-    )
+    row = fast_axis(maps).withColumn("pixel_um", F.col("pixel_size_nm") * 1e-3)
+    curves = fit_maps_eval(row, renamed, model, tile_keys, carry=("pixel_um",), **psf)
+    blanked = blank_zero_lag(with_distance(curves, "pixel_um"))
+    return blanked.select(*tile_keys, "dx", "distance_um", "g", "model_g")
