@@ -51,12 +51,12 @@ def reference_per_chunk(frames, keys=KEYS, roi=None, halo=0):
     # frame numbers only; the pixels of the first frame follow by an equi-join
     heads = region(frames.join(first, [*keys, "frame"]), roi).withColumn("_span", span)
     chunks = F.sequence(
-        F.floor(F.greatest(F.col("frame") - halo, F.lit(0)) / F.col("_span")),
-        F.floor((F.col("_last") + halo) / F.col("_span")),
+        F.floor(F.greatest(F.col("frame") - halo, F.lit(0)) / F.col("_span")).cast("int"),
+        F.floor((F.col("_last") + halo) / F.col("_span")).cast("int"),
     )
     return heads.select(
         *keys,
-        F.col("frame").alias("_first"), F.col("roi").alias("reference"), F.explode(chunks).cast("int").alias("chunk")
+        F.col("frame").alias("first_frame"), F.col("roi").alias("reference"), F.explode(chunks).alias("chunk")
     )
 
 

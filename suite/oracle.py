@@ -330,8 +330,8 @@ def _trace():
     )
 
 
-def _pixels(*parts, source):
-    return with_(*parts) + f"SELECT {PIX}, {r('intensity', 'intensity')} FROM {source}"
+def _pixels(*parts, source, digits=6):
+    return with_(*parts) + f"SELECT {PIX}, {r('intensity', 'intensity', digits)} FROM {source}"
 
 
 def _model(model):
@@ -377,10 +377,10 @@ ORACLE = {
     "crop_center": _pixels(fx.EVENTS, crop_sql("ev", 0.3), source="cropped"),
     "crop_center_pixels": _pixels(fx.EVENTS, crop_sql("ev", 0.3), source="cropped"),
     "array_roundtrip": _pixels(fx.VEC, source="vec"),
-    "detrend_w3": _pixels(fx.CUBE, detrend_sql("cube", 3), source="dt"),
-    "detrend_w5": _pixels(fx.CUBE, detrend_sql("cube", 5), source="dt"),
-    "detrend_frames": _pixels(fx.CUBE, detrend_sql("cube", 3), source="dt"),
-    "detrend_holes": _pixels(fx.HOLES, detrend_sql("holes", 3), source="dt"),
+    "detrend_w3": _pixels(fx.CUBE, detrend_sql("cube", 3), source="dt", digits=9),
+    "detrend_w5": _pixels(fx.CUBE, detrend_sql("cube", 5), source="dt", digits=9),
+    "detrend_frames": _pixels(fx.CUBE, detrend_sql("cube", 3), source="dt", digits=9),
+    "detrend_holes": _pixels(fx.HOLES, detrend_sql("holes", 3), source="dt", digits=9),
     "frame_autocorr": with_(fx.CUBE, autocorr_sql("cube", max_lag=(3, 3))) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
     "frame_autocorr_fft": with_(fx.CUBE, autocorr_sql("cube")) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
     "frame_autocorr_vec": with_(fx.VEC, autocorr_sql("vec")) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
@@ -458,7 +458,7 @@ ORACLE = {
     "map_range": with_(PAINTED)
     + f"SELECT {KEYS}, {r('median(brightness)', 'median')}, {r('median(brightness) * 0.5', 'low')}, {r('median(brightness) * 2', 'high')} FROM pt GROUP BY {KEYS}",
     "tile_fit": with_(tile_chain())
-    + f"SELECT {KEYS}, {TILE}, {r('log_d', 'log_d', 4)}, {r('amp', 'amp', 4)}, {r('brightness', 'brightness', 4)}, {r('cost', 'cost', 4)}, status FROM tf",
+    + f"SELECT {KEYS}, {TILE}, {r('log_d', 'log_d', 4)}, {r('amp', 'amp', 4)}, {r('brightness', 'brightness', 4)}, {r('log10(nullif(cost, 0))', 'log_cost', 4)}, status FROM tf",
     "local_diffusion_map": with_(
         tile_chain(), paint_sql("tf", ["diff_coeff", "amp", "brightness"], 8, 4), median3_sql("pt", ["diff_coeff", "amp", "brightness"])
     )

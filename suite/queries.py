@@ -94,19 +94,19 @@ def array_roundtrip(spark, d):
 
 
 def detrend_w3(spark, d):
-    return rounded(detrend.detrend(fx.cube(spark, d), window=3))
+    return rounded(detrend.detrend(fx.cube(spark, d), window=3), 9)
 
 
 def detrend_w5(spark, d):
-    return rounded(detrend.detrend(fx.cube(spark, d), window=5))
+    return rounded(detrend.detrend(fx.cube(spark, d), window=5), 9)
 
 
 def detrend_frames(spark, d):
-    return rounded(layout.to_pixels(detrend.detrend_frames(fx.cube_frames(spark, d), window=3)))
+    return rounded(layout.to_pixels(detrend.detrend_frames(fx.cube_frames(spark, d), window=3)), 9)
 
 
 def detrend_holes(spark, d):
-    return rounded(detrend.detrend(fx.holes(spark, d), window=3))
+    return rounded(detrend.detrend(fx.holes(spark, d), window=3), 9)
 
 
 def frame_autocorr(spark, d):
@@ -293,8 +293,8 @@ def map_range(spark, d):
 
 def tile_fit(spark, d):
     maps = with_geometry(tile_maps(fx.cube_frames(spark, d), **TILES, keys=KEYS))
-    fits = tile_fits(maps).withColumn("log_d", F.log10("d"))
-    return rounded(fits.select(*KEYS, *TILE, "log_d", "amp", "brightness", "cost", "status"), 4)
+    fits = tile_fits(maps).withColumns({"log_d": F.log10("d"), "log_cost": F.log10(F.nullif("cost", F.lit(0.0)))})
+    return rounded(fits.select(*KEYS, *TILE, "log_d", "amp", "brightness", "log_cost", "status"), 4)
 
 
 def local_map(spark, d):
