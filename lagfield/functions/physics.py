@@ -16,10 +16,6 @@ PSF_XY_UM = 0.2
 PSF_ASPECT = 4.985423166
 
 
-def _col(value):
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def rescale_acq(acq):
     """Add metre-scale columns: ``pixel_um``, ``dwell_s`` and ``line_s``."""
     return acq.withColumns(
@@ -41,20 +37,37 @@ def lag_time(dy, dx, dwell_s, line_s):
     return F.abs(dwell_s * dx + line_s * dy)
 
 
-def shape_factor(model, diff, s_lag, t_lag, psf_xy_um=PSF_XY_UM, psf_aspect=PSF_ASPECT):
-    """Model value at amplitude 1 and offset 0."""
+def number(value):
+    """A double in SQL text; names pass through."""
+    return value if isinstance(value, str) else f"{float(value)!r}D"
+
+
+def shape_text(model, diff, s_lag="s_lag", t_lag="t_lag", psf_xy_um=PSF_XY_UM, psf_aspect=PSF_ASPECT):
+    """SQL text of :func:`shape_factor`.
+
+    Fits use dozens of these in one aggregate; text is much cheaper to build
+    than column objects.
+    """
     waist = float(psf_xy_um) ** 2
-    spread = 4.0 * _col(diff) * t_lag + waist
-    value = (waist / spread) * F.exp(-s_lag / spread)
+    spread = f"(4D * {number(diff)} * {t_lag} + {number(waist)})"
+    value = f"({number(waist)} / {spread}) * exp(-{s_lag} / {spread})"
     if model == "3D":
-        axial = waist * float(psf_aspect) ** 2
-        value = value / F.sqrt(1.0 + 4.0 * _col(diff) * t_lag / axial)
-    return value
+        axial = number(waist * float(psf_aspect) ** 2)
+        value = f"{value} / sqrt(1D + 4D * {number(diff)} * {t_lag} / {axial})"
+    return f"({value})"
+
+
+def shape_factor(model, diff, s_lag="s_lag", t_lag="t_lag", **psf):
+    """Model value at amplitude 1 and offset 0.
+
+    Arguments are column names or numbers.
+    """
+    return F.expr(shape_text(model, diff, s_lag, t_lag, **psf))
 
 
-def model_value(model, amplitude, diff, offset, s_lag, t_lag, psf_xy_um=PSF_XY_UM, psf_aspect=PSF_ASPECT):
-    """Amplitude x shape + offset."""
-    return _col(amplitude) * shape_factor(model, diff, s_lag, t_lag, psf_xy_um, psf_aspect) + _col(offset)
+def model_value(model, amplitude, diff, offset, s_lag="s_lag", t_lag="t_lag", **psf):
+    """Amplitude x shape + offset; arguments are column names or numbers."""
+    return F.expr(f"{number(amplitude)} * {shape_text(model, diff, s_lag, t_lag, **psf)} + {number(offset)}")
 
 
 def particle_number(model, amplitude):

@@ -84,7 +84,8 @@ def with_chunks(frames, window):
 def chunk_residuals(chunked, keys=KEYS, window=3, align=None):
     """Residual image (``delta`` = image - sliding mean) of every frame.
 
-    ``delta`` is NULL at the ends of a series.  ``align`` may first shift the
+    ``delta`` is NULL at the ends of a series; ``level`` is the mean of the
+    image.  ``align`` may first shift the
     images of a chunk; it gets the columns ``reference`` and ``first_frame``.
     """
     window = check_window(window)
@@ -92,7 +93,8 @@ def chunk_residuals(chunked, keys=KEYS, window=3, align=None):
     carried = [c for c in chunked.columns if c not in ("chunk", "_span", "reference", "first_frame", "pixels")]
     schema = T.StructType(
         types_of(chunked, carried)
-        + [T.StructField("pixels", T.ArrayType(T.DoubleType())), T.StructField("delta", T.ArrayType(T.DoubleType()))]
+        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pixels", "delta")]
+        + [T.StructField("level", T.DoubleType())]
     )
 
     def residuals(table):
@@ -114,7 +116,8 @@ def chunk_residuals(chunked, keys=KEYS, window=3, align=None):
             delta[middle] = stack[middle] - kernels.sliding_mean(stack, window)
             edge[middle] = False
         out = out.append_column("pixels", kernels.to_lists(stack[own]))
-        return out.append_column("delta", kernels.to_lists(delta[own], edge[own]))
+        out = out.append_column("delta", kernels.to_lists(delta[own], edge[own]))
+        return out.append_column("level", pa.array(stack[own].mean(axis=1), from_pandas=True))
 
     return chunked.groupBy(*keys, "chunk").applyInArrow(residuals, schema)
 
@@ -123,15 +126,6 @@ def detrend_frames(frames, keys=KEYS, window=3):
     """Detrend the array layout: one shuffle of whole images, no pixel rows."""
     base = frames.select(*keys, "frame", "height", "width", "pixels")
     residual = chunk_residuals(with_chunks(base, check_window(window)), keys, window)
-    total = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v)
-    return (
-        residual.where(F.col("delta").isNotNull())
-        .withColumn("_mean", total / F.size("pixels"))
-        .select(
-            *keys,
-            "frame",
-            "height",
-            "width",
-            F.transform("delta", lambda v: v + F.col("_mean")).alias("pixels"),
-        )
+    return residual.where(F.col("delta").isNotNull()).select(
+        *keys, "frame", "height", "width", F.transform("delta", lambda v: v + F.col("level")).alias("pixels")
     )

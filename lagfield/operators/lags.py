@@ -49,9 +49,7 @@ def fit_maps_eval(maps, fits, model, keys=KEYS, carry=(), **psf):
     The residual at the zero lag is 0.  ``carry`` names map columns to keep.
     """
     parameters = fits.select(*keys, "amplitude", "diff_coeff", "offset")
-    value = model_value(
-        model, F.col("amplitude"), F.col("diff_coeff"), F.col("offset"), F.col("s_lag"), F.col("t_lag"), **psf
-    )
+    value = model_value(model, "amplitude", "diff_coeff", "offset", **psf)
     zero = (F.col("dy") == 0) & (F.col("dx") == 0)
     source = maps.where(F.col("dy") == 0) if model == "1D" else maps
     evaluated = source.join(parameters, list(keys)).withColumn("model_g", value)

@@ -8,6 +8,7 @@ of every query grows with its input.
 from pyspark.sql import functions as F
 
 from lagfield.functions.physics import shape_factor
+from lagfield.operators.drift import apply_drift
 from lagfield.operators.lags import with_acq, with_lag_geometry
 from lagfield.operators.layout import to_pixels
 
@@ -21,21 +22,27 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dense_frames(cells, n_frames, height, width):
-    """Images from summed cells; cells without rows are 0."""
+def dense_frames(rows, value, n_frames, height, width):
+    """Images of summed values; cells without rows are 0.
+
+    The columns of an image row are columns of one aggregate, so the rows of
+    the table shrink before the first shuffle.
+    """
     keys = ["stack_id", "channel"]
-    per_frame = cells.groupBy(*keys, "frame").agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("pos"), "value"))).alias("m")
+    lines = rows.groupBy(*keys, "frame", "y").agg(
+        F.expr("array(" + ", ".join(f"coalesce(sum({value}) FILTER (WHERE x = {x}), 0D)" for x in range(width)) + ")").alias(
+            "line"
+        )
     )
+    images = lines.groupBy(*keys, "frame").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("lines"))
     numbers = F.sequence(F.lit(0), F.lit(n_frames - 1))
-    every = per_frame.groupBy(*keys).agg(F.lit(1).alias("_")).select(*keys, F.explode(numbers).alias("frame"))
-    filled = F.expr(f"transform(sequence(0, {height * width - 1}), i -> coalesce(try_element_at(m, i), 0D))")
-    return every.join(per_frame, [*keys, "frame"], "left").select(
-        *keys,
-        "frame",
-        F.lit(height).alias("height"),
-        F.lit(width).alias("width"),
-        F.coalesce(filled, F.expr(f"array_repeat(0D, {height * width})")).alias("pixels"),
+    every = images.select(*keys).distinct().withColumn("frame", F.explode(numbers))
+    pixels = F.expr(
+        f"flatten(transform(sequence(0, {height - 1}), i -> coalesce(try_element_at(lines, i), array_repeat(0D, {width}))))"
+    )
+    empty = F.expr(f"array_repeat(0D, {height * width})")
+    return every.join(images, [*keys, "frame"], "left").select(
+        *keys, "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), F.coalesce(pixels, empty).alias("pixels")
     )
 
 
@@ -49,8 +56,7 @@ def cube_frames(spark, sf_dir):
         (F.col("l_partkey") % SIDE).cast("int").alias("x"),
         "l_quantity",
     )
-    cells = rows.groupBy("stack_id", "channel", "frame", "y", "x").agg(F.sum("l_quantity").alias("value"))
-    return dense_frames(cells, MONTHS, SIDE, SIDE)
+    return dense_frames(rows, "l_quantity", MONTHS, SIDE, SIDE)
 
 
 def cube(spark, sf_dir):
@@ -66,8 +72,7 @@ def events_frames(spark, sf_dir):
         (F.col("user_id") % SIDE).cast("int").alias("y"),
         F.hour("ts").alias("x"),
     )
-    cells = rows.groupBy("stack_id", "channel", "frame", "y", "x").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return dense_frames(cells, DAYS, SIDE, HOURS)
+    return dense_frames(rows, "1D", DAYS, SIDE, HOURS)
 
 
 def vec_frames(spark, sf_dir):
@@ -99,9 +104,10 @@ def part_maps(spark, sf_dir, model="2D", half=8):
         F.pow(F.lit(10.0), (F.col("p_size") % 5) / 2.0 - 1.0).alias("true_d"),
         (0.2 + (F.col("p_partkey") % 7) * 0.1).alias("true_a"),
     )
-    lags = parts.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
+    # the table is one small file: spread its rows before each becomes a map
+    lags = parts.repartition("part").withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
     placed = with_lag_geometry(with_acq(lags))
-    shape = shape_factor(model, F.col("true_d"), F.col("s_lag"), F.col("t_lag"))
+    shape = shape_factor(model, "true_d")
     error = 0.001 * (F.pmod(7 * F.col("dy") + 3 * F.col("dx") + F.col("part"), F.lit(5)) - 2)
     zero = (F.col("dy") == 0) & (F.col("dx") == 0)
     return placed.withColumn("g", F.when(zero, 0.0).otherwise(F.col("true_a") * shape + error)).withColumn(
@@ -157,21 +163,23 @@ def meta_json(spark, sf_dir):
 
 def rolled_frames(spark, sf_dir):
     """The total image of each series, rolled by a known shift per month."""
-    base = (
-        cube(spark, sf_dir)
-        .groupBy("stack_id", "channel", "y", "x")
-        .agg(F.sum("intensity").alias("value"))
-        .withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    frames = cube_frames(spark, sf_dir).select("stack_id", "channel", F.posexplode("pixels").alias("pos", "v"))
+    base = frames.groupBy("stack_id", "channel", "pos").agg(F.sum("v").alias("v"))
+    images = base.groupBy("stack_id", "channel").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("pixels")
     )
-    moved = base.select(
+    still = images.select(
         "stack_id",
         "channel",
-        "frame",
-        F.pmod(F.col("y") + F.col("frame") % 3, F.lit(SIDE)).cast("int").alias("y"),
-        F.pmod(F.col("x") - (F.col("frame") * 2) % 5, F.lit(SIDE)).cast("int").alias("x"),
-        "value",
+        F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"),
+        F.lit(SIDE).alias("height"),
+        F.lit(SIDE).alias("width"),
+        "pixels",
+    )
+    shift = still.select(
+        "stack_id", "channel", "frame", (F.col("frame") % 3).alias("dy"), (-((F.col("frame") * 2) % 5)).alias("dx")
     )
-    return dense_frames(moved, 6, SIDE, SIDE)
+    return apply_drift(still, shift)
 
 
 # --- the same in SQL -------------------------------------------------------

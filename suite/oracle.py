@@ -72,7 +72,7 @@ def autocorr_sql(source, name="fc", keys=KEYS, max_lag=None):
 )"""
 
 
-def mean_map_sql(source="fc", name="mm", keys=KEYS, bessel="reduced", window=3):
+def mean_map_sql(source="fc", name="mm", keys=KEYS, bessel="reduced", window=3, none_left="no_valid_frame"):
     factor = "n_frames / nullif(n_frames - 1, 0)::DOUBLE"
     need = "2"
     if bessel == "original":
@@ -80,7 +80,7 @@ def mean_map_sql(source="fc", name="mm", keys=KEYS, bessel="reduced", window=3):
         need = "1"
     return f"""{name} AS (
   SELECT {keys}, dy, dx, CASE WHEN n_frames > 0 THEN mean_g * ({factor}) END AS g, n_frames, n_rows,
-         CASE WHEN n_frames < {need} THEN 'too_few_frames' WHEN n_frames < n_rows THEN 'frames_skipped' ELSE 'ok' END AS status
+         CASE WHEN n_rows < {need} THEN 'too_few_frames' WHEN n_frames = 0 THEN '{none_left}' WHEN n_frames < {need} THEN 'too_few_frames' WHEN n_frames < n_rows THEN 'frames_skipped' ELSE 'ok' END AS status
   FROM (SELECT {keys}, dy, dx, avg(g) AS mean_g, count(g) AS n_frames, count(*) AS n_rows
         FROM {source} GROUP BY {keys}, dy, dx)
 )"""
@@ -141,7 +141,7 @@ def fit_sql(source, model="2D", keys=KEYS, name="ft"):
   SELECT *, syy - 2.0 * a * fy - 2.0 * o * sy + a * a * ff + 2.0 * a * o * f + n * o * o AS cost FROM {name}_o{number}
 ),
 {name}_r{number} AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(cost, 12), c) AS rank,
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round_even(cost * 1e12::DOUBLE, 0), c) AS rank,
          lag(cost) OVER q AS below, lead(cost) OVER q AS above
   FROM {name}_s{number} WINDOW q AS (PARTITION BY {keys} ORDER BY c)
 ),
@@ -401,7 +401,7 @@ ORACLE = {
     "correlation_map_job": with_(CUBE_CORR, mean_map_sql(), bootstrap_sql())
     + f"SELECT {LAG}, {r('mm.g', 'g')}, {r('bs.g_sd', 'g_sd')}, mm.n_frames::BIGINT AS n_frames, status FROM mm JOIN bs USING ({KEYS}, dy, dx)",
     "correlation_map_cropped": with_(
-        fx.CUBE, crop_sql("cube", 0.5), detrend_sql("cropped", 5), autocorr_sql("dt", max_lag=(2, 2)), mean_map_sql(bessel="original", window=5)
+        fx.CUBE, crop_sql("cube", 0.5), detrend_sql("cropped", 5), autocorr_sql("dt", max_lag=(2, 2)), mean_map_sql(bessel="original", window=5, none_left="zero_mean")
     )
     + f"SELECT {MEAN_COLUMNS} FROM mm",
     "correlation_map_drift": with_(

@@ -201,7 +201,7 @@ def lag_geometry(spark, d):
 def _model_query(model):
     def query(spark, d):
         maps = fx.part_maps(spark, d, model)
-        value = physics.model_value(model, F.col("true_a"), F.col("true_d"), 0.01, F.col("s_lag"), F.col("t_lag"))
+        value = physics.model_value(model, "true_a", "true_d", 0.01)
         return rounded(maps.select(*KEYS, "dy", "dx", value.alias("model_g")))
 
     return query
