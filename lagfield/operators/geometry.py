@@ -70,10 +70,12 @@ def crop_lags(corr_map, crop_fast, crop_slow, shape=None, keys=KEYS):
     """Keep the central lags of a correlation map; lags keep their values.
 
     The bounds are floor(n (1 - c) / 2) and floor(n (1 + c) / 2) on the axis
-    index, where index n // 2 is lag 0.
+    index, where index n // 2 is lag 0.  The size comes from ``shape``, from
+    columns ``height`` and ``width`` of the map, or else from its lags.
     """
     columns = corr_map.columns
-    if shape is None:
+    sized = corr_map if shape is None and {"height", "width"} <= set(columns) else None
+    if sized is None and shape is None:
         shape = corr_map.groupBy(*keys).agg(
             (F.max("dy") - F.min("dy") + 1).alias("height"), (F.max("dx") - F.min("dx") + 1).alias("width")
         )
@@ -84,7 +86,8 @@ def crop_lags(corr_map, crop_fast, crop_slow, shape=None, keys=KEYS):
         high = F.floor(F.col(size) * 0.5 * (1.0 + float(crop)))
         return (index >= low) & (index < high)
 
-    sized = with_shape(corr_map, shape, keys)
+    if sized is None:
+        sized = with_shape(corr_map, shape, keys)
     return sized.where(inside("dy", "height", crop_slow) & inside("dx", "width", crop_fast)).select(*columns)
 
 

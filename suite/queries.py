@@ -247,7 +247,7 @@ def fit_edges(spark, d):
 def fit_job_query(spark, d):
     acq = metadata.extract_acq(fx.meta_json(spark, d), channel=1)
     maps = fx.part_maps(spark, d).select(*KEYS, "dy", "dx", "g", "n_frames")
-    fits = fit_job(maps, acq, "2D", 0.75, 0.5)
+    fits = fit_job(maps, acq, "2D", 0.75, 0.5, shape=SHAPE)
     return rounded(fits.withColumn("diff_coeff", F.log10("diff_coeff")), 4)
 
 
