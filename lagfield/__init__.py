@@ -1,5 +1,9 @@
 """Raster image correlation on Spark: from image series to diffusion maps."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from lagfield.operators.correlate import autocorr, autocorr_frames
 from lagfield.operators.detrend import detrend, detrend_frames
 from lagfield.operators.drift import apply_drift, drift_correct, estimate_drift
@@ -27,4 +31,7 @@ from lagfield.sources.metadata import extract_acq
 from lagfield.sources.results import fit_table, read_fits, read_maps, write_fits, write_local_map, write_maps
 from lagfield.sources.stacks import scan_stack, write_frames
 
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [name for name in dir() if not name.startswith("_")]
