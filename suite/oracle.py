@@ -205,7 +205,6 @@ def tiles_sql(source, size, step, name="tl", side=fx.SIDE):
 
 def paint_sql(source, columns, size, step, name="pt", side=fx.SIDE):
     """Every pixel takes the values of the last tile over it, row by row."""
-    rank = f"row_number() OVER (PARTITION BY {KEYS}, py, px ORDER BY tile_y0 DESC NULLS LAST, tile_x0 DESC NULLS LAST)"
     picked = ", ".join(columns)
     return f"""{name}_grid AS (
   SELECT {KEYS}, a.range AS py, b.range AS px
