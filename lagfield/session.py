@@ -28,13 +28,22 @@ def build_session(app_name="lagfield", **overrides):
     return builder.getOrCreate()
 
 
-def scratch_folder(spark, purpose):
-    """A fresh folder below the shared checkpoint folder the cluster names.
+def shared_folder(spark):
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where no checkpoint folder is set,
-    which is the case in tests.
+    Only where none is named and driver and tasks run in one process (tests), a temporary folder is made and set.
+    On a cluster without the setting this is an error: a local folder there would be another one on each machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="lagfield-")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared.rstrip("/")
+
+
+def scratch_folder(spark, purpose):
+    """A fresh folder below the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
