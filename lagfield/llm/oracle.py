@@ -59,4 +59,82 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT lost_too_much AS kept, n_lines, n_lines_removed, chars_removed
 FROM judged"""
 
-ORACLE = {"op2_quality_rules": QUALITY}
+
+DEDUP = f"""WITH d AS (SELECT doc_id, {FOLD.format("text")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)"""
+
+
+def near_ctes(table: str) -> str:
+    """CTEs up to ``parts``: ``doc_id, n_shingles, component_id`` of every row of ``table``."""
+    return f"""
+    folded AS (SELECT doc_id, {words(FOLD.format("text"))} AS ws FROM {table}),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM folded WHERE len(ws) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common_parts AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+        FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM common_parts JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+        WHERE 100 * k >= 75 * (p.n + q.n - k)),
+    both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (
+        SELECT doc_id AS node, doc_id AS seen FROM {table}
+        UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.seen),
+    parts AS (
+        SELECT node AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(seen) AS component_id
+        FROM reach LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node)"""
+
+
+NEAR = f"WITH RECURSIVE {near_ctes('documents')} SELECT * FROM parts"
+
+
+def mix_ctes(table: str) -> str:
+    """CTEs up to ``mixed``: every row of ``table`` with ``size, source_size, target, repeats``."""
+    return f"""
+    sized AS (
+        SELECT *, len({words("text")})::BIGINT AS size,
+               ('0x' || substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR)), 1, 15))::BIGINT AS hash
+        FROM {table}),
+    ranked AS (
+        SELECT source, sum(size)::DOUBLE AS source_size,
+               (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+        FROM sized GROUP BY source),
+    limits AS (SELECT *, 3 * source_size / weight AS cap_at FROM ranked),
+    shares AS (
+        SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))
+                  / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS share
+        FROM limits
+        WINDOW o AS (ORDER BY cap_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    targets AS (
+        SELECT source, source_size,
+               least(3 * source_size, weight * (SELECT arg_min(share, cap_at) FROM shares WHERE cap_at >= share)) AS target
+        FROM shares),
+    budgets AS (
+        SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+    by_hash AS (SELECT source, hash, sum(size) AS held FROM sized GROUP BY ALL),
+    filled AS (SELECT *, sum(held) OVER (PARTITION BY source ORDER BY hash) AS cum FROM by_hash),
+    more AS (
+        SELECT f.source, f.hash,
+               cum <= target - whole * source_size
+               OR (cum - held <= target - whole * source_size AND 2 * (target - whole * source_size - (cum - held)) > held) AS again
+        FROM filled f JOIN budgets b ON f.source IS NOT DISTINCT FROM b.source),
+    mixed AS (
+        SELECT s.*, b.source_size::BIGINT AS source_size, b.target,
+               least(3, b.whole + CASE WHEN m.again AND b.source_size > 0 THEN 1 ELSE 0 END)::BIGINT AS repeats
+        FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+        JOIN more m ON m.source IS NOT DISTINCT FROM s.source AND m.hash = s.hash)"""
+
+
+MIX = f"""WITH {mix_ctes("documents")}
+SELECT doc_id, size, source_size, round(target, 6) AS target, size * repeats AS taken FROM mixed"""
+
+ORACLE = {
+    "op2_quality_rules": QUALITY,
+    "op3_ngram_join": NEAR,
+    "op5_mixing": MIX,
+    "op6_exact_dedup": DEDUP,
+}

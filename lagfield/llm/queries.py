@@ -1,9 +1,19 @@
 """One query for each operator, over its whole table."""
 
+from pyspark.sql import functions as F
+
 from lagfield.llm.common import read_table
+from lagfield.llm.exact_dedup import exact_dedup_files
+from lagfield.llm.mixing import mix_sources
+from lagfield.llm.ngram_join import near_components
+from lagfield.llm.packing import pack
 from lagfield.llm.quality import quality_rules
 
 
+def op1_packing(spark, sf_dir):
+    return pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id",
@@ -20,4 +30,25 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def op3_ngram_join(spark, sf_dir):
+    return near_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_mixing(spark, sf_dir):
+    mixed = mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup_files(spark, f"{sf_dir}/documents.parquet").select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_join": op3_ngram_join,
+    "op5_mixing": op5_mixing,
+    "op6_exact_dedup": op6_exact_dedup,
+}
