@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from lagfield.llm.common import read_table
+from lagfield.llm.common import read_table, scratch
 from lagfield.llm.exact_dedup import exact_dedup_files
 from lagfield.llm.mixing import mix_sources
 from lagfield.llm.ngram_join import near_components
 from lagfield.llm.packing import pack
 from lagfield.llm.quality import quality_rules
+from lagfield.llm.token_shards import token_table
+from lagfield.llm.warc import archive_table
 
 
 def op1_packing(spark, sf_dir):
@@ -45,10 +47,25 @@ def op6_exact_dedup(spark, sf_dir):
     )
 
 
+def op9_warc(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return archive_table(pages, scratch(spark, "warc"))
+
+
+def op10_token_shards(spark, sf_dir):
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_table(docs, scratch(spark, "shards"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_warc": op9_warc,
+    "op10_token_shards": op10_token_shards,
 }
