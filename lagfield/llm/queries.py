@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lagfield.llm.common import read_table, scratch
 from lagfield.llm.exact_dedup import exact_dedup_files
+from lagfield.llm.html_text import extract
 from lagfield.llm.mixing import mix_sources
 from lagfield.llm.ngram_join import near_components
 from lagfield.llm.packing import pack
@@ -47,6 +48,10 @@ def op6_exact_dedup(spark, sf_dir):
     )
 
 
+def op8_html_text(spark, sf_dir):
+    return extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_warc(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     return archive_table(pages, scratch(spark, "warc"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_token_shards": op10_token_shards,
 }
