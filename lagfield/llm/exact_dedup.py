@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from lagfield.llm.common import fold_case, materialize, scratch
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk.  A store's files are not given their space ahead, as there are many small stores; only changes are uploaded.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text):
@@ -64,8 +70,9 @@ def remember(
         # one folder per batch, replaced when a batch is run again: updates are neither lost nor doubled
         batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -76,10 +83,11 @@ def remember(
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     place, files = _hadoop_path(spark, f"{folder}/updates")
     if not files.exists(place):
         return spark.createDataFrame([], "digest string, keep struct<doc_id:bigint,file:string,row:bigint>, n bigint")
