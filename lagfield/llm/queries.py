@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lagfield.llm import language_id, pii
 from lagfield.llm.common import read_table, scratch
 from lagfield.llm.exact_dedup import exact_dedup_files
 from lagfield.llm.html_text import extract
@@ -37,6 +38,11 @@ def op3_ngram_join(spark, sf_dir):
     return near_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_personal_data(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.find_personal_data(docs, pii.train(docs))
+
+
 def op5_mixing(spark, sf_dir):
     mixed = mix_sources(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -48,6 +54,11 @@ def op6_exact_dedup(spark, sf_dir):
     )
 
 
+def op7_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op8_html_text(spark, sf_dir):
     return extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -69,8 +80,10 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
+    "op4_personal_data": op4_personal_data,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_token_shards": op10_token_shards,
