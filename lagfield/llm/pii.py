@@ -29,7 +29,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and further character of each kind
 HIDDEN = 12
 WINDOW, STRIDE = 96, 48
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 250
 CONFIDENCE = 0.95
 
 
@@ -196,7 +196,7 @@ class Tagger:
             dt / n,
         ]
 
-    def fit(self, x, y, epochs=12, batch=32, rate=0.015, seed=9):
+    def fit(self, x, y, epochs=8, batch=32, rate=0.015, seed=9):
         """``x``, ``y``: characters and tags (windows, steps).  Adam."""
         rng = np.random.default_rng(seed)
         params = [self.ahead.w, self.ahead.u, self.behind.w, self.behind.u, self.v, self.b, self.t]
