@@ -2,7 +2,7 @@
 
 A detrended image is the image, minus the per-pixel mean over ``window``
 frames around it, plus the image's own spatial mean.  ``window // 2`` frames
-are dropped at both ends.  Frames of a series are numbered without gaps.
+are dropped at both ends.  Windows go by the position of a frame in its series.
 A missing sample anywhere in the window leaves a missing sample.
 """
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F, types as T
 
 from lagfield.operators import kernels
+from lagfield.operators.layout import number_frames, sound_images
 from lagfield.schema import KEYS, types_of
 
 #: Samples one chunk of consecutive frames may hold.  It bounds the memory of a
@@ -61,15 +62,16 @@ def chunk_frames(height="height", width="width"):
     return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.lit(CHUNK_SAMPLES) / samples))).cast("int")
 
 
-def with_chunks(frames, window):
+def with_chunks(frames, window, chunk=None):
     """Copy each frame to every chunk whose windows need it.
 
     Chunks are runs of consecutive frames.  A frame within ``window // 2`` of a
     border also goes to the neighbour, so each chunk can be worked on alone and
-    a series of any length spreads over many tasks.
+    a series of any length spreads over many tasks.  Frames are numbered without
+    gaps.  ``chunk`` sets the number of frames; no result depends on it.
     """
     half = window // 2
-    span = chunk_frames()
+    span = chunk_frames() if chunk is None else F.lit(int(chunk))
     return frames.withColumn("_span", span).withColumn(
         "chunk",
         F.explode(
@@ -122,10 +124,19 @@ def chunk_residuals(chunked, keys=KEYS, window=3, align=None):
     return chunked.groupBy(*keys, "chunk").applyInArrow(residuals, schema)
 
 
-def detrend_frames(frames, keys=KEYS, window=3):
-    """Detrend the array layout: one shuffle of whole images, no pixel rows."""
-    base = frames.select(*keys, "frame", "height", "width", "pixels")
-    residual = chunk_residuals(with_chunks(base, check_window(window)), keys, window)
+def detrend_frames(frames, keys=KEYS, window=3, chunk=None):
+    """Detrend the array layout: one shuffle of whole images, no pixel rows.
+
+    Frames keep their numbers; an image that is absent or damaged is one of
+    missing samples.
+    """
+    base = sound_images(frames.select(*keys, "frame", "height", "width", "pixels").withColumn("_number", F.col("frame")))
+    chunked = with_chunks(number_frames(base, keys), check_window(window), chunk)
+    residual = chunk_residuals(chunked, keys, window)
     return residual.where(F.col("delta").isNotNull()).select(
-        *keys, "frame", "height", "width", F.transform("delta", lambda v: v + F.col("level")).alias("pixels")
+        *keys,
+        F.col("_number").alias("frame"),
+        "height",
+        "width",
+        F.transform("delta", lambda v: v + F.col("level")).alias("pixels"),
     )

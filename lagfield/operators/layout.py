@@ -1,6 +1,6 @@
 """Bridges between the array and the long layout, and image shapes."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lagfield.schema import KEYS
 
@@ -44,6 +44,36 @@ def as_frames(df, keys=KEYS):
     return df if "pixels" in df.columns else to_frames(df, keys)
 
 
+def number_frames(frames, keys=KEYS):
+    """Frames numbered by their position in the series, from 0.
+
+    Windows and bootstrap draws go by position.  A series whose frame numbers have no gaps is in order as it is; only where
+    some series has gaps are positions, found from keys and numbers alone, joined to the images.
+    """
+    keys = list(keys)
+    numbers = frames.select(*keys, "frame")
+    spans = numbers.groupBy(*keys).agg(
+        (F.max("frame") - F.min("frame") + 1 - F.count_distinct("frame")).alias("_gaps")
+    )
+    if spans.where("_gaps > 0").isEmpty():
+        return frames
+    order = Window.partitionBy(*keys).orderBy("frame")
+    places = numbers.distinct().withColumn("_place", F.row_number().over(order) - 1)
+    same = F.lit(True)
+    for c in [*keys, "frame"]:
+        same = same & F.col(f"i.{c}").eqNullSafe(F.col(f"p.{c}"))
+    placed = frames.alias("i").join(places.alias("p"), same)
+    return placed.select(*[F.col("p._place").alias(c) if c == "frame" else F.col(f"i.{c}") for c in frames.columns])
+
+
+def sound_images(frames):
+    """Images whose array is absent or does not fill their rectangle, as images of missing samples."""
+    size = F.col("height") * F.col("width")
+    blank = F.array_repeat(F.lit(None).cast("double"), size.cast("int"))
+    fills = F.size("pixels") == size
+    return frames.withColumn("pixels", F.when(fills, F.col("pixels").cast("array<double>")).otherwise(blank))
+
+
 def stack_shape(df, keys=KEYS):
     """Frame count, height and width of every image series."""
     if "pixels" in df.columns:

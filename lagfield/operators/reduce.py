@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from lagfield.functions.physics import small_sample_factor
 from lagfield.operators import kernels
@@ -89,8 +89,12 @@ def bootstrap_sd(frame_corr, keys=KEYS, reps=REPLICATES, seed=0, frames=None):
     columns of one aggregate.  Frames without a correlation drop out of a
     replicate, which then divides by the draws that remain.
     """
-    listed = frame_corr if frames is None else frames
-    weights = draw_weights(listed.select(*keys, "frame").distinct(), keys, 1, reps, seed)
+    listed = (frame_corr if frames is None else frames).select(*keys, "frame").distinct()
+    # draws go by position, frames by their numbers
+    order = Window.partitionBy(*keys).orderBy("frame")
+    places = listed.withColumn("_place", (F.row_number().over(order) - 1).cast("int"))
+    drawn = draw_weights(places.select(*keys, F.col("_place").alias("frame")), keys, 1, reps, seed)
+    weights = places.join(drawn.withColumnRenamed("frame", "_place"), [*keys, "_place"]).drop("_place")
     joined = frame_corr.join(weights, [*keys, "frame"], "left")
     weight = [F.coalesce(F.get("weights", F.lit(r)), F.lit(0.0)) for r in range(reps)]
     known = F.col("g").isNotNull()

@@ -5,23 +5,23 @@ from pyspark.sql import functions as F
 from lagfield.operators.detrend import check_window, chunk_residuals, with_chunks
 from lagfield.operators.drift import chunk_aligner, reference_per_chunk
 from lagfield.operators.geometry import crop_center
-from lagfield.operators.layout import as_frames
+from lagfield.operators.layout import as_frames, number_frames, sound_images
 from lagfield.operators.reduce import REPLICATES, draw_weights, finish_sums, partial_sums
 from lagfield.schema import KEYS
 
 
-def residual_chunks(frames, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0):
+def residual_chunks(frames, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0, chunk=None):
     """Images with their residual, drift-corrected and with bootstrap weights.
 
-    The images are shuffled once, to chunks of consecutive frames.  Weights and
-    drift reference are joined on the same chunks, so they add no shuffle of
-    images.
+    The images are shuffled to chunks of consecutive frames.  Weights are joined on
+    the same chunks and add no shuffle of images.  Frame numbers with gaps cost a
+    shuffle more, the drift reference another.
     """
-    base = frames.select(*keys, "frame", "height", "width", "pixels")
-    chunked = with_chunks(base, window)
+    base = number_frames(frames.select(*keys, "frame", "height", "width", "pixels"), keys)
+    chunked = with_chunks(base, window, chunk)
     half = window // 2
     if reps:
-        weights = with_chunks_of(draw_weights(base, keys, window, reps, seed), base, keys, half)
+        weights = with_chunks_of(draw_weights(base, keys, window, reps, seed), base, keys, half, chunk)
         chunked = chunked.join(weights, [*keys, "chunk"], "left").withColumn(
             "weights", F.element_at("_by_frame", F.col("frame"))
         ).drop("_by_frame")
@@ -32,10 +32,10 @@ def residual_chunks(frames, keys=KEYS, window=3, drift=False, roi=None, reps=0,
     return chunk_residuals(chunked, keys, window, align)
 
 
-def with_chunks_of(weights, frames, keys, half):
+def with_chunks_of(weights, frames, keys, half, chunk=None):
     """Weights of a chunk's frames as one map per chunk."""
     sizes = frames.groupBy(*keys).agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    chunked = with_chunks(weights.join(sizes, list(keys)), 2 * half + 1)
+    chunked = with_chunks(weights.join(sizes, list(keys)), 2 * half + 1, chunk)
     return chunked.groupBy(*keys, "chunk").agg(
         F.map_from_entries(F.collect_list(F.struct("frame", "weights"))).alias("_by_frame")
     )
@@ -52,19 +52,36 @@ def correlation_map(
     reps=REPLICATES,
     seed=0,
     max_lag=None,
+    chunk=None,
 ):
     """Correlation map with bootstrap uncertainty of every image series.
 
     Crop, optional drift correction, detrending, autocorrelation, mean over
     frames.  ``reps=0`` leaves the uncertainty out; ``max_lag`` (slow, fast)
-    computes central lags only.  A series that gives no map has status rows
-    with NULL ``g``; it never fails the job.
+    computes central lags only; ``chunk`` sets the frames of a task's unit of
+    work and changes no value.  Frames go by their position in the series.  A
+    series that gives no map has status rows with NULL ``g``: an image that is
+    absent or does not fill its rectangle counts as one of missing samples, and
+    a series without any sample after the crop has one row, ``empty_image``.
 
     Two shuffles carry data: the cropped images to chunks of frames, and the
-    partial sums, smaller by the frames per chunk, to their lag.
+    partial sums to their lag.
     """
     window = check_window(window)
-    frames = crop_center(as_frames(df, keys), crop)
-    residuals = residual_chunks(frames, keys, window, drift, roi, reps, seed)
+    frames = crop_center(sound_images(as_frames(df, keys)), crop)
+    residuals = residual_chunks(frames, keys, window, drift, roi, reps, seed, chunk)
     partials = partial_sums(residuals, keys, max_lag, reps)
-    return finish_sums(partials, keys, bessel, window, reps)
+    maps = finish_sums(partials, keys, bessel, window, reps)
+    return maps.unionByName(_empty_series(frames, keys), allowMissingColumns=True)
+
+
+def _empty_series(frames, keys):
+    """One status row for each series whose images have no samples."""
+    sizes = frames.groupBy(*keys).agg(F.max("height").alias("height"), F.max("width").alias("width"))
+    return sizes.where("height * width = 0").select(
+        *keys,
+        "height",
+        "width",
+        F.lit(0).cast("long").alias("n_frames"),
+        F.lit("empty_image").alias("status"),
+    )

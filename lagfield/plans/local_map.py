@@ -81,8 +81,16 @@ def local_diffusion_map(
     frames = crop_center(as_frames(df, keys), crop)
     maps = with_geometry(tile_maps(frames, size, step, keys, 1.0, window), acq, defaults)
     fits = tile_fits(maps, model, keys, min_valid, **psf)
-    painted = paint_tiles(fits, shape or stack_shape(frames, keys), MAP_COLUMNS, size, step, keys)
-    return median_filter3(painted, MAP_COLUMNS, keys) if smooth else painted
+    shape = shape or stack_shape(frames, keys)
+    painted = paint_tiles(fits, shape, MAP_COLUMNS, size, step, keys)
+    whole = median_filter3(painted, MAP_COLUMNS, keys) if smooth else painted
+    # an image smaller than a tile has a map too, without values
+    sizes = stack_shape(frames, keys) if isinstance(shape, tuple) else shape
+    small = sizes.where(F.least("height", "width") < size).where("height > 0 AND width > 0")
+    pixels = small.select(*keys, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select(
+        *keys, "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")
+    )
+    return whole.unionByName(pixels, allowMissingColumns=True)
 
 
 def local_fast_axis(maps, fits, model="2D", keys=KEYS, **psf):

@@ -19,7 +19,7 @@ def scan_stack(spark, path, channel=0, frames=None, stack_ids=None, pixel_type=N
 
 
 def write_frames(frames, path, mode="errorifexists"):
-    """Store images by channel, sorted so that file statistics skip other series.
+    """Store images by channel, in ranges of series so that file statistics skip other series.
 
     There is no folder per series: with millions of series that would be
     millions of tiny files.
@@ -27,6 +27,7 @@ def write_frames(frames, path, mode="errorifexists"):
     columns = [f.name for f in frames_schema().fields]
     (
         frames.select(*columns)
+        .repartitionByRange(*KEYS, "frame")
         .sortWithinPartitions(*KEYS, "frame")
         .write.mode(mode)
         .partitionBy("channel")

@@ -104,6 +104,12 @@ def bootstrap_sql(source="fc", name="bs", keys=KEYS, reps=10, seed=7):
 )"""
 
 
+#: Embedding images with the position of each in its series as its number.
+PLACED = f"""placed AS (
+  SELECT {KEYS}, dense_rank() OVER (PARTITION BY {KEYS} ORDER BY frame) - 1 AS frame, y, x, intensity FROM vec
+)"""
+
+
 def fit_sql(source, model="2D", keys=KEYS, name="ft"):
     """Grid search of D with the best amplitude and offset in closed form."""
     low = "0.1" if model == "1D" else "0.001"
@@ -399,6 +405,12 @@ ORACLE = {
     + f"SELECT {MEAN_COLUMNS}, {r('dx * 0.02::DOUBLE', 'distance_um')} FROM mm WHERE dy = 0",
     "correlation_map_job": with_(CUBE_CORR, mean_map_sql(), bootstrap_sql())
     + f"SELECT {LAG}, {r('mm.g', 'g')}, {r('bs.g_sd', 'g_sd')}, mm.n_frames::BIGINT AS n_frames, status FROM mm JOIN bs USING ({KEYS}, dy, dx)",
+    "correlation_map_vec": with_(
+        fx.VEC, PLACED, detrend_sql("placed", 3), autocorr_sql("dt"), mean_map_sql(), bootstrap_sql()
+    )
+    + f"SELECT {LAG}, {r('mm.g', 'g')}, {r('bs.g_sd', 'g_sd')}, mm.n_frames::BIGINT AS n_frames, status FROM mm JOIN bs USING ({KEYS}, dy, dx)",
+    "bootstrap_vec": with_(fx.VEC, PLACED, autocorr_sql("placed"), bootstrap_sql())
+    + f"SELECT {LAG}, {r('g_sd', 'g_sd')}, n_frames::BIGINT AS n_frames FROM bs",
     "correlation_map_cropped": with_(
         fx.CUBE, crop_sql("cube", 0.5), detrend_sql("cropped", 5), autocorr_sql("dt", max_lag=(2, 2)), mean_map_sql(bessel="original", window=5, none_left="zero_mean")
     )

@@ -165,6 +165,15 @@ def correlation_map_job(spark, d):
     return rounded(correlation_map(fx.cube_frames(spark, d), seed=7).drop("height", "width"))
 
 
+def correlation_map_vec(spark, d):
+    """Series whose frame numbers have gaps, in chunks of five frames."""
+    return rounded(correlation_map(fx.vec_frames(spark, d), seed=7, chunk=5).drop("height", "width"))
+
+
+def bootstrap_vec(spark, d):
+    return rounded(reduce.bootstrap_sd(correlate.autocorr(fx.vec_frames(spark, d)), seed=7))
+
+
 def correlation_map_cropped(spark, d):
     maps = correlation_map(fx.cube_frames(spark, d), crop=0.5, window=5, bessel="original", reps=0, max_lag=(2, 2))
     return rounded(maps.select(*KEYS, "dy", "dx", "g", "n_frames", "status"))
@@ -388,6 +397,8 @@ QUERIES = {
     "crop_lags": crop_lags,
     "fast_axis_cut": fast_axis_cut,
     "correlation_map_job": correlation_map_job,
+    "correlation_map_vec": correlation_map_vec,
+    "bootstrap_vec": bootstrap_vec,
     "correlation_map_cropped": correlation_map_cropped,
     "correlation_map_drift": correlation_map_drift,
     "correlation_map_holes": correlation_map_holes,
