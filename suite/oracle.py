@@ -147,7 +147,7 @@ def fit_sql(source, model="2D", keys=KEYS, name="ft"):
   SELECT *, syy - 2.0 * a * fy - 2.0 * o * sy + a * a * ff + 2.0 * a * o * f + n * o * o AS cost FROM {name}_o{number}
 ),
 {name}_r{number} AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round_even(cost * 1e12::DOUBLE, 0), c) AS rank,
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round_even(cost / nullif(syy, 0.0) * 1e12::DOUBLE, 0), c) AS rank,
          lag(cost) OVER q AS below, lead(cost) OVER q AS above
   FROM {name}_s{number} WINDOW q AS (PARTITION BY {keys} ORDER BY c)
 ),
@@ -450,6 +450,7 @@ ORACLE = {
     "fit_2d": with_(fx.part_maps_sql("2D"), fit_sql("maps", "2D")) + fit_select(),
     "fit_3d": with_(fx.part_maps_sql("3D"), fit_sql("maps", "3D")) + fit_select(),
     "fit_fast_axis": with_(fx.part_maps_sql("2D"), fit_sql("maps", "1D")) + fit_select(),
+    "fit_scaled": with_(fx.part_maps_sql("2D"), fit_sql("maps", "2D")) + fit_select(),
     "fit_edges": with_(
         fx.part_maps_sql("2D"),
         "lifted AS (SELECT * REPLACE (true_a * 0.4::DOUBLE - g * CASE WHEN channel = 0 THEN 0.3 ELSE -3.0 END::DOUBLE AS g) FROM maps)",
@@ -486,8 +487,12 @@ ORACLE = {
     "scan_stack": with_(fx.CUBE)
     + f"SELECT {PIX}, {r('intensity', 'intensity')} FROM cube WHERE channel = 1 AND frame BETWEEN 2 AND 4",
     "write_read_maps": with_(CUBE_CORR, mean_map_sql()) + f"SELECT {MEAN_COLUMNS} FROM mm WHERE channel = 0",
-    "append_fits": f"SELECT p_partkey::VARCHAR || '_scan_RICScorr' AS stack_id, (p_partkey % 2)::BIGINT AS channel, m AS model, "
-    f"63::BIGINT AS n_lags, 'ok' AS status FROM part CROSS JOIN (SELECT unnest(['2D', '3D']) AS m)",
+    "append_fits": with_(fx.part_maps_sql("2D", half=4), fit_sql("maps", "2D", name="f2"), fit_sql("maps", "3D", name="f3"))
+    + " UNION ALL ".join(
+        f"SELECT stack_id AS filepath, {r('particle_number', '\"Particle Number\"')}, {r('diff_coeff', '\"Diffusion Coefficient\"')},"
+        f" {r('residual_mean', 'residual')}, model FROM {name}"
+        for name in ("f2", "f3")
+    ),
     "local_map_written": with_(
         fx.CUBE,
         tiles_sql("cube", 8, 4),

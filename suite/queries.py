@@ -245,6 +245,15 @@ def _fit_query(model):
     return query
 
 
+def fit_scaled(spark, d):
+    """Maps of odd parts a million times smaller; the numbers come back at the usual size."""
+    odd = F.col("channel") == 1
+    maps = fx.part_maps(spark, d)
+    fits = fit.fit_maps(maps.withColumn("g", F.col("g") * F.when(odd, 1e-6).otherwise(1.0)), "2D")
+    up = {"amplitude": 1e6, "offset": 1e6, "residual_mean": 1e6, "cost": 1e12, "particle_number": 1e-6}
+    return rounded(fits.withColumns({c: F.col(c) * F.when(odd, k).otherwise(1.0) for c, k in up.items()}))
+
+
 def fit_edges(spark, d):
     """Negated and lifted maps, whose best parameters lie on their bounds."""
     maps = fx.part_maps(spark, d)
@@ -359,10 +368,12 @@ def write_read_maps(spark, d):
 
 def append_fits(spark, d):
     path = scratch_folder(spark, "fits")
-    fits = fit.fit_maps(fx.part_maps(spark, d, half=4)).select(*KEYS, "model", "n_lags", "status")
-    results.write_fits(fits, path, "overwrite")
-    results.write_fits(fits.withColumn("model", F.lit("3D")), path, "append")
-    return rounded(results.read_fits(spark, path, fits.schema))
+    maps = fx.part_maps(spark, d, half=4)
+    for channel, model, mode in ((0, "2D", "overwrite"), (0, "3D", "overwrite"), (1, "2D", "append"), (1, "3D", "append")):
+        fits = fit.fit_maps(maps.where(F.col("channel") == channel), model)
+        results.write_fits(fits, path, mode)
+    table = results.read_fits(spark, path, fits.schema)
+    return rounded(results.fit_table(table, more=("model",)))
 
 
 def local_map_written(spark, d):
@@ -413,6 +424,7 @@ QUERIES = {
     "fit_2d": _fit_query("2D"),
     "fit_3d": _fit_query("3D"),
     "fit_fast_axis": _fit_query("1D"),
+    "fit_scaled": fit_scaled,
     "fit_edges": fit_edges,
     "fit_job": fit_job_query,
     "tile_assign": tile_assign,
