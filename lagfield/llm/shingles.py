@@ -19,7 +19,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -48,6 +48,17 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: int, size: int = BLOCK):
+    """Arrow batches cut so that a column of texts holds about ``size`` bytes in each, one row at least."""
+    for batch in batches:
+        _, offsets = as_bytes(batch.column(column))
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the index of its first word for each text (n+1 entries)."""
     inside = np.zeros(len(data) + 1, bool)
