@@ -51,18 +51,20 @@ def optimal_bounds(lengths, counts, buckets: int) -> list[int]:
 def length_bounds(lengths: DataFrame, buckets: int = 16, max_bins: int = MAX_BINS) -> list[int]:
     """Bounds from the histogram of the column ``n_tokens`` over all rows.
 
-    The histogram has at most ``max_bins`` rows whatever the data: lengths are rounded up to a multiple of the
-    smallest power of two that makes them fit.  Up to ``max_bins`` tokens the result is the exact optimum, beyond it
-    the optimum among bounds that are such multiples.
+    Up to ``max_bins`` different lengths the result is the exact optimum.  Where there are more, lengths are rounded up to
+    multiples of the smallest power of two that leaves at most ``max_bins`` of them, whatever the data, and the result
+    is the optimum among such bounds.
     """
-    longest = lengths.agg(F.max("n_tokens")).first()[0]
-    if longest is None:
-        return []
+    hist = materialize(lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").count(), "pack-histogram")
     grain = 1
-    while longest // grain >= max_bins:
+    while True:
+        bins = hist.groupBy((F.ceil(F.col("n_tokens") / grain) * grain).cast("long").alias("n")).agg(
+            F.sum("count").alias("rows")
+        )
+        if bins.count() <= max_bins:
+            break
         grain *= 2
-    bins = lengths.groupBy((F.ceil(F.col("n_tokens") / grain) * grain).cast("long").alias("n")).count()
-    rows = sorted((r["n"], r["count"]) for r in bins.collect())
+    rows = sorted((r["n"], r["rows"]) for r in bins.collect())
     return optimal_bounds([r[0] for r in rows], [r[1] for r in rows], buckets)
 
 
