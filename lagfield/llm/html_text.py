@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagfield.llm.common import materialize
+
 MIN_PAGES = 5
 MIN_SHARE = 0.5
 MAIN_SHARE = 0.6
@@ -191,7 +193,7 @@ def _tokens(batches):
                 n = counts.pop(key, None)
                 if n is None:
                     continue
-                up = walk.elements[parent][0] if parent >= 0 else None
+                up = walk.elements[parent][0] if parent >= 0 else 0
                 got = held.setdefault((host, key), [up, label, bad, leaf, 0, 0, 0, 0, 0, 2**63 - 1, -(2**63)])
                 got[4] ^= _mix(page or 0, n)
                 got[5] += 1
@@ -359,7 +361,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     A null or empty page has the empty text; a page without a URL belongs to the host without a name; repeated rows have a row each;
     an empty table gives no rows; further columns are not looked at.
     """
-    deduced = templates(pages, page_id, url, html).withColumnRenamed("host", "__host__")
+    # written first, so that Spark knows its size: a small one goes to the pages, not the pages to it
+    deduced = materialize(templates(pages, page_id, url, html), "html-templates").withColumnRenamed("host", "__host__")
     name = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), name.alias("__host__"))
     return (
