@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagfield.llm.common import fold_case, materialize, scratch
+from lagfield.llm.common import fold_case, materialize, passing_tables, remove, scratch
 
 #: State on disk.  A store's files are not given their space ahead, as there are many small stores; only changes are uploaded.
 _STATE = {
@@ -118,7 +118,9 @@ def exact_dedup_files(
     one text, these groups decide instead of the state.  A group of any size is counted in the tasks that read it
     before rows meet.  An empty table gives no rows; further columns pass through.
     """
-    known = materialize(remember(spark, path, doc_id, text, batch_bytes, digest), "dedup-known")
+    folder = scratch(spark, "dedup-stream")
+    known = materialize(remember(spark, path, doc_id, text, batch_bytes, digest, folder), "dedup-known")
+    remove(spark, folder)  # the stream has come to its end
     rows = _arrivals(spark.read.parquet(path), doc_id, text, digest)
     hits = rows.join(known.where("n > 1").select("digest"), "digest", "left_semi")
     texts = hits.groupBy("digest", "folded").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -145,14 +147,29 @@ def exact_dedup_files(
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 256 << 20) -> DataFrame:
     """``docs`` without the rows that are exact copies of another; same columns.
 
-    A stream needs a source that can be read again, so the rows are written to the shared folder first.
+    A stream needs a source that can be read again: a plain scan of Parquet files is streamed from where they lie, rows
+    of any other kind are written to the shared folder first.
     """
-    path = scratch(docs.sparkSession, "dedup-source")
-    docs.write.parquet(path)
-    source = docs.sparkSession.read.schema(docs.schema).parquet(path)
-    judged = exact_dedup_files(docs.sparkSession, path, doc_id, text, batch_bytes)
-    drop = judged.where("NOT kept").select(F.col("file").alias("__file__"), F.col("row").alias("__row__"))
+    spark = docs.sparkSession
+    source, path = docs, _scanned_folder(docs)
+    if path is None:
+        path = scratch(spark, "dedup-source")
+        docs.write.parquet(path)
+        source = spark.read.schema(docs.schema).parquet(path)
+    with passing_tables(spark):
+        judged = exact_dedup_files(spark, path, doc_id, text, batch_bytes)
+        drop = judged.where("NOT kept").select(F.col("file").alias("__file__"), F.col("row").alias("__row__"))
+        drop = materialize(drop, "dedup-drop", keep=True)
     placed = source.select(
         "*", F.col("_metadata.file_path").alias("__file__"), F.col("_metadata.row_index").alias("__row__")
     )
     return placed.join(drop, ["__file__", "__row__"], "left_anti").select(*docs.columns)
+
+
+def _scanned_folder(docs: DataFrame) -> str | None:
+    """The folder, if ``docs`` is nothing but a scan of all Parquet files of one folder."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
+        return None
+    roots = plan.relation().location().rootPaths()
+    return roots.head().toString() if roots.size() == 1 and not docs.isStreaming else None
