@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagfield.llm.common import materialize
+from lagfield.llm.shingles import slices
 
 END_ID = 2
 HEADER = np.dtype([("n", "<u4"), ("flags", "<u4"), ("key", "<i8")])
 CLOSE = "\x1e\x1e"
 SHARD_BYTES = 16 << 20
 BLOCK_KEYS = 1024
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
+SLICE_BYTES = 4 << 20
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|]*)")
@@ -156,7 +158,7 @@ def _encoder(path):
 def _records(tokenizer, end_id, dtype):
     def run(batches):
         encoder = _encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, 1, SLICE_BYTES):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for key, ids in zip(keys, encoder.encode([t or "" for t in texts]), strict=True):
