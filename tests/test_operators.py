@@ -237,6 +237,16 @@ def test_fit_statuses(spark):
     assert fit.fit_maps(single).collect()[0].status == "degenerate"
 
 
+def test_fit_keeps_maps_with_null_keys(spark):
+    base = model_maps(spark, "2D", [(1.0, 0.5, 0.0), (2.0, 0.5, 0.0), (4.0, 0.5, 0.0)])
+    maps = base.withColumn("channel", F.when(F.col("stack_id") == "1", F.lit(None)).otherwise(F.lit(0)).cast("int"))
+    maps = maps.withColumn("stack_id", F.when(F.col("stack_id") != "2", F.col("stack_id")))
+    got = {(r.stack_id, r.channel): r for r in fit.fit_maps(maps).collect()}
+    assert {k: r.status for k, r in got.items()} == dict.fromkeys([("0", 0), ("1", None), (None, 0)], "ok")
+    assert [round(got[k].diff_coeff, 2) for k in (("0", 0), ("1", None), (None, 0))] == [1.0, 2.0, 4.0]
+    assert len({r.n_lags for r in got.values()}) == 1
+
+
 def test_fit_shuffles_map_rows_once(spark):
     maps = model_maps(spark, "2D", [(1.0, 0.5, 0.0)]).withColumn("channel", F.length("stack_id"))
     fits = fit.fit_maps(maps)
