@@ -19,8 +19,10 @@ HIDDEN = 8
 TRAIN_WINDOW = 64
 WINDOW = 128
 LANGUAGE_DOCS = 200
+LEAST_DOCS = 20
 DOC_WINDOWS = 4
-MAX_LANGUAGES = 64
+#: Labels up to which each has its full sample and windows go in whole blocks; more share the same room.
+SHARED_LABELS = 64
 BLOCK = 4096
 
 _LETTER = np.zeros(256, bool)
@@ -156,8 +158,9 @@ class ByteTagger:
         sums, letters = np.zeros((len(lengths), len(self.languages))), np.zeros(len(lengths))
         padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
         k = self.ahead.h
-        for i in range(0, len(text), BLOCK):
-            rows = slice(i, i + BLOCK)
+        block = max(1, BLOCK * SHARED_LABELS // max(SHARED_LABELS, len(self.languages)))
+        for i in range(0, len(text), block):
+            rows = slice(i, i + block)
             at = start[rows][None, :] + np.arange(WINDOW)[:, None]
             x = np.where(at < stop[rows][None, :], padded[at], 0).astype(np.uint8)
             a = self.ahead.run(x) @ self.v[:k]
@@ -200,21 +203,26 @@ def train(
     lang: str = "lang",
     language_docs: int = LANGUAGE_DOCS,
 ) -> ByteTagger | None:
-    """Fit on at most ``2 * language_docs`` documents of each of the ``MAX_LANGUAGES`` commonest labels, taken by hash.
+    """Fit on at most ``2 * language_docs`` documents of every label, taken by hash.
 
+    Where there are more than ``SHARED_LABELS`` labels they share the sample of so many, but none has less than
+    ``LEAST_DOCS`` in place of ``language_docs``.
     Documents that are held out and labels that are null take no part.  Without any label there is no model.
     """
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().collect()
     if not counts:
         return None
-    limit = F.lit(0).cast("long")
-    for row in counts:
-        share = min(1.0, 1.5 * language_docs / row["count"])
-        limit = F.when(F.col(lang) == row["lang"], F.lit(int(share * (1 << 60)))).otherwise(limit)
+    language_docs = min(language_docs, max(LEAST_DOCS, language_docs * SHARED_LABELS // len(counts)))
+    # one row for each label that the network has; they are on the driver anyhow
+    limits = docs.sparkSession.createDataFrame(
+        [(row["lang"], int(min(1.0, 1.5 * language_docs / row["count"]) * (1 << 60))) for row in counts],
+        "__label__ string, __limit__ long",
+    )
     h = hash60(F.lit("lang"), F.col(doc_id).cast("string"))
     sample = (
-        rows.where(h < limit)
+        rows.join(F.broadcast(limits), F.col(lang) == F.col("__label__"))
+        .where(h < F.col("__limit__"))
         .select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("hash"))
         .mapInArrow(_windows, "lang string, hash bigint, window binary")
         .collect()

@@ -140,6 +140,17 @@ def test_language(make, clash):
     assert language_id.predict(docs.limit(0), model).collect() == []
 
 
+def test_every_label_is_learned(make):
+    rng = random.Random(12)
+    rows = [(i, spoken(rng, "aa", 6), f"l{i % 70:02}", "s") for i in range(700)]
+    rows += [(700 + i, spoken(rng, "cc", 40), "rare", "s") for i in range(8)]
+    docs = make(rows)
+    model = language_id.train(docs, language_docs=4)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert sum(got[700 + i] == "rare" for i in range(8)) >= 6
+
+
 def test_held_out_labels_do_not_matter(make):
     rng = random.Random(9)
     rows = [(i, spoken(rng, "aabb"[2 * (i % 2) : 2 * (i % 2) + 2], 20), "ab"[i % 2], "s") for i in range(60)]
