@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lagfield.llm import mixing, ngram_join, packing
@@ -131,6 +133,52 @@ def test_components_equal_brute_force(make, monkeypatch, seed, few, most):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(texts)
 
 
+def drifting_sets(seed):
+    """Sets that come from each other by small changes, so that long lists stay within groups on several levels."""
+    rng = random.Random(seed)
+    size = rng.randrange(8, 26)
+    sets = [frozenset(rng.sample(range(size), rng.randrange(4, size)))]
+    for _ in range(rng.randrange(10, 50)):
+        now = set(rng.choice(sets))
+        for _ in range(rng.randrange(1, 4)):
+            if rng.random() < 0.5 and len(now) > 4:
+                now.discard(rng.choice(sorted(now)))
+            else:
+                now.add(rng.randrange(size))
+        sets.append(frozenset(now))
+    return list(dict.fromkeys(sets))
+
+
+def linked(sets, percent=75):
+    """id -> smallest id reached; every pair is compared."""
+    found = {i: i for i in sets}
+    for x in sets:
+        for y in sets:
+            if x < y and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]) and found[x] != found[y]:
+                a, b = sorted((found[x], found[y]))
+                found = {i: a if c == b else c for i, c in found.items()}
+    return found
+
+
+def test_groups_of_three_levels_keep_all_members(make, monkeypatch):
+    # every word is a shingle here: the families whose links need members of all levels are small and of exact sizes
+    def word_sets(column):
+        sets = [sorted({int(w) for w in t.split()}) for t in column.to_pylist()]
+        return np.array([v for s in sets for v in s], np.uint64), np.cumsum([0, *map(len, sets)])
+
+    monkeypatch.setattr(ngram_join, "shingle_sets", word_sets)
+    cloudpickle.register_pickle_by_value(ngram_join)
+    try:
+        families = [drifting_sets(seed) for seed in (556, 1444)]
+        sets = {1000 * f + i: {1000 * f + v for v in s} for f, family in enumerate(families) for i, s in enumerate(family)}
+        docs = make([(i, " ".join(map(str, s)), "en", "s") for i, s in sets.items()]).coalesce(1)
+        want = {i: c for f in range(len(families)) for i, c in linked({i: s for i, s in sets.items() if i // 1000 == f}).items()}
+        got = ngram_join.near_components(docs, few=1, most_matches=1).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+    finally:
+        cloudpickle.unregister_pickle_by_value(ngram_join)
+
+
 def test_components_of_awkward_tables(make, clash):
     docs = make([(1, "a b c d e f g", "en", None), (1, "a b c d e f g", "en", None), (None, "a b c d e f g", "en", "s"), (0, "A b c d e f g", None, "s"), (5, None, "en", "s")])
     got = sorted(ngram_join.near_components(clash(docs)).collect(), key=repr)
