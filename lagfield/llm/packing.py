@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lagfield.llm.common import materialize, n_words
 
-MAX_BINS = 4096
 SLICE_ROWS = 50_000
 
 
@@ -20,42 +19,70 @@ def optimal_bounds(lengths, counts, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` length buckets with the least padding; ``lengths`` ascend.
 
     Padding of bucket (i, j] is ``length[j] * count - tokens``, from running sums; bounds are always lengths that occur.
+    For each i it is a line over ``length[j]``, and slopes fall with i, so the lower hull of the lines gives every j its
+    best i: time grows with the number of lengths, not its square.  Whole numbers throughout, so nothing is rounded.
     """
-    lengths, counts = np.asarray(lengths, np.float64), np.asarray(counts, np.float64)
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     n = len(lengths)
     if not n:
         return []
-    rows = np.concatenate([[0.0], np.cumsum(counts)])
-    tokens = np.concatenate([[0.0], np.cumsum(counts * lengths)])
-    best = lengths * rows[1:] - tokens[1:]  # one bucket for the first j lengths
+    rows, tokens = np.cumsum(counts).tolist(), np.cumsum(counts * lengths).tolist()
+    lengths = lengths.tolist()
+    best = [length * r - t for length, r, t in zip(lengths, rows, tokens, strict=True)]  # one bucket for the first j lengths
     came = [np.zeros(n, np.int64)]
     for _ in range(1, min(buckets, n)):
-        new, via = best.copy(), np.zeros(n, np.int64)
+        new, via = list(best), np.zeros(n, np.int64)
+        hull, first = [], 0  # (slope, value at 0, i), steeper and steeper
         for j in range(1, n):
-            cost = best[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1]) - (tokens[j + 1] - tokens[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], via[j] = cost[i], i + 1
+            _add(hull, first, (-rows[j - 1], best[j - 1] + tokens[j - 1], j - 1))
+            x = lengths[j]
+            while first + 1 < len(hull) and hull[first + 1][0] * x + hull[first + 1][1] < hull[first][0] * x + hull[first][1]:
+                first += 1
+            cost = hull[first][0] * x + hull[first][1] + x * rows[j] - tokens[j]
+            if cost < new[j]:
+                new[j], via[j] = cost, hull[first][2] + 1
         came.append(via)
         best = new
     bounds, j, layer = [], n - 1, len(came) - 1
     while j >= 0:
-        bounds.append(int(lengths[j]))
+        bounds.append(lengths[j])
         via = came[layer][j]
         if via == 0:
             break
-        j, layer = via - 1, layer - 1
+        j, layer = int(via) - 1, layer - 1
     return bounds[::-1]
 
 
-def length_bounds(lengths: DataFrame, buckets: int = 16, max_bins: int = MAX_BINS) -> list[int]:
-    """Bounds from the histogram of the column ``n_tokens`` over all rows.
+def _add(hull: list, first: int, line: tuple) -> None:
+    """Put ``line``, at least as steep as all before it, at the end of the lower hull; lines up to ``first`` stay."""
+    m, c, _ = line
+    while len(hull) > first:
+        m2, c2, _ = hull[-1]
+        if m == m2:
+            if c >= c2:
+                return
+        else:
+            if len(hull) - 1 == first:
+                break
+            m1, c1, _ = hull[-2]
+            # the last line is needed only if it falls below the one before it ahead of the new one
+            if (c - c1) * (m1 - m2) > (c2 - c1) * (m1 - m):
+                break
+        hull.pop()
+    hull.append(line)
 
-    Up to ``max_bins`` different lengths the result is the exact optimum.  Where there are more, lengths are rounded up to
-    multiples of the smallest power of two that leaves at most ``max_bins`` of them, whatever the data, and the result
-    is the optimum among such bounds.
+
+def length_bounds(lengths: DataFrame, buckets: int = 16, max_bins: int | None = None) -> list[int]:
+    """Bounds from the histogram of the column ``n_tokens`` over all rows, the exact optimum whatever the lengths.
+
+    The histogram has no more rows than the longest text has tokens.  A caller who wants fewer can set ``max_bins``:
+    lengths are then rounded up to multiples of the smallest power of two that leaves at most so many, and the result is
+    the optimum among such bounds.
     """
     hist = materialize(lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").count(), "pack-histogram")
+    if max_bins is None:
+        exact = hist.toPandas().sort_values("n_tokens")
+        return optimal_bounds(exact["n_tokens"].to_numpy(), exact["count"].to_numpy(), buckets)
     grain = 1
     while True:
         bins = hist.groupBy((F.ceil(F.col("n_tokens") / grain) * grain).cast("long").alias("n")).agg(

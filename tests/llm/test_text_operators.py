@@ -61,6 +61,16 @@ def test_long_lengths_are_binned(make):
     assert packing.length_bounds(lengths, 2, max_bins=3) == [16, 104]
 
 
+def test_bounds_are_exact_for_any_number_of_lengths(spark):
+    lengths = spark.range(1, 5001).select(F.col("id").alias("n_tokens"))
+    # all lengths from 1 to 5000 once: two buckets are best in halves; rounding would give multiples of 2 only
+    assert packing.length_bounds(lengths, 2) == [2500, 5000]
+    odd = lengths.where("n_tokens % 2 = 1 OR n_tokens < 4000")
+    bounds = packing.length_bounds(odd, 3)
+    values = [r.n_tokens for r in odd.collect()]
+    assert bounds[-1] == 4999 and set(bounds) <= set(values)
+
+
 # quality rules
 
 
