@@ -132,9 +132,55 @@ def mix_ctes(table: str) -> str:
 MIX = f"""WITH {mix_ctes("documents")}
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * repeats AS taken FROM mixed"""
 
+NEGATIVES = """
+WITH moved AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+           list_sum(list_transform(list_zip(a.q, r.q), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM moved a JOIN moved r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) <= 5"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""
+WITH doc_terms AS (
+    SELECT doc_id, row_number() OVER () AS d, regexp_extract_all({FOLD.format("text")}, '{_TERM}') AS ts FROM documents),
+held AS (SELECT count(*) FILTER (WHERE len(ts) > 0)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM doc_terms),
+occur AS (
+    SELECT doc_id, d, n, term, count(*)::BIGINT AS tf
+    FROM (SELECT doc_id, d, len(ts)::BIGINT AS n, unnest(ts) AS term FROM doc_terms) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM occur, held GROUP BY term, big_n),
+asked AS (
+    SELECT item_id, i, term, count(*)::BIGINT AS times
+    FROM (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all({FOLD.format("text")}, '{_TERM}')) AS term FROM benchmark)
+    GROUP BY ALL),
+scored AS (
+    SELECT item_id, i, doc_id, d,
+           sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))))::BIGINT AS score
+    FROM asked JOIN occur USING (term) JOIN weights USING (term), held GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 20"""
+
 ORACLE = {
     "op2_quality_rules": QUALITY,
     "op3_ngram_join": NEAR,
     "op5_mixing": MIX,
     "op6_exact_dedup": DEDUP,
+    "op11_hard_negatives": NEGATIVES,
+    "op12_lexical_search": SEARCH,
 }

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from lagfield.llm import language_id, pii
+from lagfield.llm import language_id, lexical_search, pii, toxicity
 from lagfield.llm.common import read_table, scratch
 from lagfield.llm.exact_dedup import exact_dedup_files
+from lagfield.llm.hard_negatives import mine_hard_negatives
 from lagfield.llm.html_text import extract
 from lagfield.llm.mixing import mix_sources
 from lagfield.llm.ngram_join import near_components
@@ -76,6 +77,26 @@ def op10_token_shards(spark, sf_dir):
     return token_table(docs, scratch(spark, "shards"), tokenizer).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256.0).cast("double"))
+    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return mine_hard_negatives(
+        rows.select("vec_id", moved.alias("label"), F.when(sound, whole).alias("embedding")), F.col("id") % 100 == 0
+    )
+
+
+def op12_lexical_search(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return lexical_search.search(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.predict(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -87,4 +108,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_token_shards": op10_token_shards,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_toxicity": op13_toxicity,
 }
