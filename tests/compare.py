@@ -34,7 +34,7 @@ def check(spark, con, name, query, sql, sf_dir):
     left = canonical([tuple(r) for r in df.collect()], df.columns)
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
-    types = {"boolean": ("BOOLEAN",), "bigint": ("BIGINT",), "double": ("DOUBLE",), "string": ("VARCHAR",)}
+    types = {"boolean": ("BOOLEAN",), "bigint": ("BIGINT",), "int": ("INTEGER",), "double": ("DOUBLE",), "string": ("VARCHAR",)}
     duck_types = {d[0]: str(d[1]) for d in rel.description}
     right = canonical(rel.fetchall(), names)
     if sorted(df.columns) != sorted(names):
