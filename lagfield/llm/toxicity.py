@@ -26,13 +26,14 @@ SIZE = 4
 SHORTEST, LONGEST = 3, 5
 #: Documents of each label that are learned from, at most.
 LABEL_DOCS = 2000
-#: Subwords in fewer of them have no vector; those in a share ``COMMON`` of them count half as much as rare ones.
+#: Subwords in fewer of them have no vector; those in a share ``COMMON`` of the documents of label 0 count half as much as
+#: subwords that these never hold.
 LEAST_DOCS = 10
 COMMON = 0.02
 #: Words without a vector that every mean counts besides the text's own, so that a text of few words is not judged by one.
 PLAIN_WORDS = 20
 #: Updates of the fit, as many for any sample, and the documents of one.
-STEPS = 500
+STEPS = 300
 BATCH = 64
 RATE = 0.5
 #: Words a task remembers before it starts anew.
@@ -94,7 +95,9 @@ class SubwordClassifier:
         labels = np.asarray(labels)
         weight = len(labels) / (2.0 * np.maximum(1, np.bincount(labels, minlength=2)))[labels]
         seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=BUCKETS)
-        self.scale = (np.float32(COMMON) / (COMMON + seen / len(bags)) * (seen >= LEAST_DOCS)).astype(np.float32)
+        usual = np.bincount(np.concatenate([b[0] for b, y in zip(bags, labels, strict=True) if y == 0]), minlength=BUCKETS)
+        usual = usual / max(1, int((labels == 0).sum()))
+        self.scale = (COMMON / (COMMON + usual) * (seen >= LEAST_DOCS)).astype(np.float32)
         cut = []
         for ids, share in bags:
             share = share * self.scale[ids]
