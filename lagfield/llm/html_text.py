@@ -1,10 +1,12 @@
 """Main text of web pages by templates deduced for each host.
 
-Tags are tokens, told apart by their place in the page.  Tokens with the same occurrence vector over all pages of a
-host form an equivalence class; vectors are compared by a hash that is built up page by page, so no page meets another.
-Classes that are seen often enough, whose tokens occur once a page and lie inside each other or side by side, are
-nested into the host's template.  What lies between its tokens are slots; the template's main container is found by
-the text its slots hold over all pages, and a page's text is what remains in it.
+Elements are tokens, told apart by their place in the page (their labels from the root); the text that stands directly
+in an element found once on a page is a token too, told apart by place and text.  Tokens with the same occurrence vector
+over all pages of a host form an equivalence class; vectors are compared by a hash that is built up page by page, so no
+page meets another.  A class counts if pages of several different texts hold it, and is valid if its tokens come once
+a page, in the same order on every page, and all inside one slot of the class around them.  Valid classes nest into the
+host's template: a text in the class of its own element belongs to it.  Between the template's tokens are slots; a
+page's text is what remains in them, but for the parts that tags and names mark as menus, adverts, comments and the like.
 """
 
 from __future__ import annotations
@@ -12,18 +14,18 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagfield.llm.common import materialize
 
-MIN_PAGES = 5
-MIN_SHARE = 0.5
-MAIN_SHARE = 0.6
+#: Pages of different texts that have to hold a token; copies and near copies of a page mostly count as one.
+SUPPORT = 3
 
 #: HTML elements by role, and words in class and id that name boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,14 +45,15 @@ SIBLINGS = {
     "body": {"head"},
 }
 WALLS = set("ul ol dl table select article section div main aside nav footer header form body html".split())
-LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption address caption".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar"
-    r"|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|cookie|cookies|consent|gdpr|notice|notices|alert"
-    r"|comment|comments|commentlist|respond|reply|replies|discussion|disqus|footer|foot|masthead|share|sharing|social"
-    r"|related|recommended|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager"
-    r"|toolbar|widget|widgets|skip-link|site-header|page-header|topbar|top-bar)(?:$|[\s_-])",
-    re.I,
+#: Names that condemn all inside, and names that condemn all inside but for an article or main part.
+ALWAYS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored comment comments commentlist respond reply replies "
+    "discussion disqus cookie cookies consent gdpr popup modal login signup".split()
+)
+AROUND = set(
+    "banner promo promotion sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs notice notices alert footer "
+    "foot masthead share sharing social related recommended overlay newsletter subscribe subscription search pagination "
+    "pager toolbar widget widgets skip-link site-header page-header topbar top-bar".split()
 )
 
 _TOKEN = re.compile(
@@ -68,17 +71,36 @@ def host_of(url) -> str:
     return m[1].lower() if m else ""
 
 
+FREE, WRAPPED, OUT = 0, 1, 2
+
+
+def verdict(attributes) -> int:
+    """What class, id and role say: ``OUT``, ``WRAPPED`` (but for articles inside) or ``FREE``.
+
+    Names are whole: ``sidebar`` or ``main-sidebar``, but not ``content-sidebar-wrap``.
+    """
+    found = FREE
+    for _, a, b, c in _NAME.findall(attributes or ""):
+        for name in (a or b or c).lower().split():
+            for part in (name, name.replace("_", "-").rpartition("-")[2]):
+                if part in ALWAYS:
+                    return OUT
+                if part in AROUND:
+                    found = WRAPPED
+    return found
+
+
 class Walk:
     """One page as a sequence of elements and texts.
 
-    ``elements``: [key, parent index, label, boilerplate, leaf]; ``texts``: (element index, text, block number).
-    Inline elements are not kept.  A key names an element's place: its labels from the root, hashed.
+    ``elements``: [key, parent index, tag, verdict]; ``texts``: (element index, text, block number).  Inline elements
+    are not kept.  A key names an element's place: its labels from the root, hashed.
     """
 
     keys: dict = {}
 
     def __init__(self, page: str):
-        self.elements, self.texts, self.block = [[0, -1, "", False, False]], [], 0
+        self.elements, self.texts, self.block = [[0, -1, "", FREE]], [], 0
         self.stack = [0]
         place = 0
         while True:
@@ -103,7 +125,8 @@ class Walk:
             self.open(tag, attributes)
 
     def open(self, tag, attributes):
-        if tag in INLINE and not (attributes and self.named(attributes)):
+        said = verdict(attributes)
+        if tag in INLINE and not said:
             if tag == "br":
                 self.texts.append((self.stack[-1], " ", self.block))
             return
@@ -118,21 +141,17 @@ class Walk:
         label = re.sub(r"\d+", "0", " ".join([tag, *sorted(names.get("class", "").split()), "#" + names.get("id", "")]))
         parent = self.stack[-1]
         up = self.elements[parent]
-        key = self.key(up[0], label)
-        inside = any(self.elements[i][2].split(" ")[0] in ("article", "main") for i in self.stack[1:]) if tag == "header" else True
-        bad = (
-            up[3]
-            or tag in SKIP
-            or not inside
-            or (tag not in ("html", "body", "article", "main") and self.named(attributes))
-        )
-        self.elements.append([key, parent, label, bad, tag in LEAF])
+        if tag in ("html", "body"):
+            said = FREE
+        elif tag in SKIP or (tag == "header" and not any(self.elements[i][2] in ("article", "main") for i in self.stack)):
+            said = OUT
+        elif tag in ("article", "main"):
+            # its own name only counts if it says that nothing inside is an article
+            said = OUT if said == OUT else FREE
+        inherited = FREE if up[3] == WRAPPED and tag in ("article", "main") else up[3]
+        self.elements.append([self.key(up[0], label), parent, tag, max(said, inherited)])
         self.stack.append(len(self.elements) - 1)
 
-    @staticmethod
-    def named(attributes):
-        return any(NAMED.search(a or b or c) for _, a, b, c in _NAME.findall(attributes))
-
     @classmethod
     def key(cls, up, label):
         known = cls.keys.get((up, label))
@@ -140,11 +159,28 @@ class Walk:
             if len(cls.keys) > 100_000:
                 cls.keys.clear()
             digest = hashlib.blake2b(f"{up}/{label}".encode("utf-8", "replace"), digest_size=8).digest()
-            known = cls.keys[(up, label)] = int.from_bytes(digest, "little", signed=True)
+            known = cls.keys[(up, label)] = int.from_bytes(digest, "little", signed=True) & ~1
         return known
 
     def tag(self, index):
-        return self.elements[index][2].split(" ")[0]
+        return self.elements[index][2]
+
+    def own_texts(self) -> dict:
+        """Text that stands directly in each element that is not condemned, blanks taken together."""
+        held: dict = {}
+        for index, piece, _ in self.texts:
+            if not self.elements[index][3] and not piece.isspace():
+                held.setdefault(index, []).append(piece)
+        return {index: " ".join("\0".join(pieces).split()) for index, pieces in held.items()}
+
+    def tokens(self):
+        """Key, parent's key and place in the page of each element and of the text of each once-found element."""
+        counts = Counter(e[0] for e in self.elements)
+        own = self.own_texts()
+        for index, (key, parent, *_) in enumerate(self.elements):
+            yield key, self.elements[parent][0] if parent >= 0 else None, index, counts[key]
+            if index in own and counts[key] == 1:
+                yield text_key(key, own[index]), key, index, 1
 
     def shut(self, tags):
         """Close open elements of these tags up to the nearest wall."""
@@ -173,169 +209,140 @@ def _mix(a: int, b: int) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+def text_key(element: int, text: str) -> int:
+    """Key of a text token: odd, where keys of elements are even."""
+    digest = hashlib.blake2b(f"{element}\0{text}".encode("utf-8", "replace"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True) | 1
+
+
 def _tokens(batches):
-    """For each host and token of a batch: occurrence vector (hashed), pages, occurrences, and the text it holds."""
+    """For each host and token of a batch: occurrence vector (hashed), pages, occurrences and kinds of pages.
+
+    ``kinds`` has a bit for each page, chosen by the least hash of its texts, which near copies mostly share.
+    """
     for batch in batches:
-        held = {}
-        pages, urls, htmls = (batch.column(i).to_pylist() for i in range(3))
-        for page, url, text in zip(pages, urls, htmls, strict=True):
+        held: dict = {}
+        for page, url, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             walk, host = Walk(text or ""), host_of(url)
-            counts, chars, prints = {}, {}, {}
-            for key, *_ in walk.elements:
-                counts[key] = counts.get(key, 0) + 1
-            for index, piece, _ in walk.texts:
-                n = len(piece.strip())
-                if n:
-                    key = walk.elements[index][0]
-                    chars[key] = chars.get(key, 0) + n
-                    prints[key] = _mix(prints.get(key, 0), hash_text(piece))
-            for key, parent, label, bad, leaf in walk.elements:
-                n = counts.pop(key, None)
-                if n is None:
+            texts = walk.own_texts().values()
+            kind = min((zlib.crc32(t.encode("utf-8", "replace")) for t in texts), default=0)
+            bit = 1 << (kind * 0x9E3779B1 >> 7) % 63
+            met = set()
+            for key, parent, _, n in walk.tokens():
+                if key in met:
                     continue
-                up = walk.elements[parent][0] if parent >= 0 else 0
-                got = held.setdefault((host, key), [up, label, bad, leaf, 0, 0, 0, 0, 0, 2**63 - 1, -(2**63)])
-                got[4] ^= _mix(page or 0, n)
-                got[5] += 1
-                got[6] += n
-                got[7] += chars.get(key, 0)
-                got[8] = max(got[8], n)
-                got[9], got[10] = min(got[9], prints.get(key, 0)), max(got[10], prints.get(key, 0))
-        rows = [(h, k, *v) for (h, k), v in held.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 13
+                met.add(key)
+                got = held.setdefault((host, key), [parent, 0, 0, 0, 0])
+                got[1] ^= _mix(page or 0, n)
+                got[2] += 1
+                got[3] += n
+                got[4] |= bit
+        columns = list(zip(*((h, k, *v) for (h, k), v in held.items()), strict=True)) or [[]] * 7
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, _TOKEN_KINDS, strict=True)], names=_TOKEN_NAMES
+            [pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)],
+            names="host key parent vector pages total kinds".split(),
         )
 
 
-def hash_text(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=7).digest(), "little")
-
-
-_TOKEN_NAMES = "host key parent label bad leaf vector pages total chars most low high".split()
-_I = pa.int64()
-_TOKEN_KINDS = [pa.string(), _I, _I, pa.string(), pa.bool_(), pa.bool_(), _I, _I, _I, _I, _I, _I, _I]
-_TOKEN_SCHEMA = (
-    "host string, key bigint, parent bigint, label string, bad boolean, leaf boolean, vector bigint, pages bigint,"
-    " total bigint, chars bigint, most bigint, low bigint, high bigint"
-)
-
+def _checked(batches):
+    """For each class of the hosts of a batch: the order of its tokens on a page (hashed), and whether all are in one slot.
 
-def _template(frame: pd.DataFrame) -> pd.DataFrame:
-    """Template of one host from its frequent tokens: the main container and the fixed parts inside it."""
-    host = frame["host"].iloc[0]
-    rows = {r.key: r for r in frame.itertuples(index=False)}
-    pages = int(rows[0].pages) if 0 in rows else int(frame["pages"].max())
-    below: dict = {}
-    for r in rows.values():
-        if r.key != 0 and r.parent in rows:
-            below.setdefault(r.parent, []).append(r.key)
-    text: dict = {}
-
-    def weight(key):  # characters of a container and all in it that is not boilerplate by name
-        stack, order = [key], []
-        while stack:
-            k = stack.pop()
-            order.append(k)
-            stack.extend(below.get(k, []))
-        for k in reversed(order):
-            text[k] = 0 if rows[k].bad else rows[k].chars + sum(text[c] for c in below.get(k, []))
-        return text[key]
-
-    if 0 not in rows or not weight(0):
-        return pd.DataFrame({"host": [host], "main": [None], "fixed": [[]]})
-    # equivalence classes: equal vectors, pages and totals; valid: once a page, and nested by their places
-    classes: dict = {}
-    for r in rows.values():
-        if r.most == 1 and not r.bad:
-            classes.setdefault((r.vector, r.pages, r.total), []).append(r.key)
-    at = 0
-    while True:
-        inside = [k for members in classes.values() for k in members if rows[k].parent == at and not rows[k].leaf]
-        best = max(inside, key=lambda k: (text[k], k), default=None)
-        if best is None or text[best] < MAIN_SHARE * text[at]:
-            break
-        at = best
-    if at == 0 or at not in rows:
-        return pd.DataFrame({"host": [host], "main": [None], "fixed": [[]]})
-    inner, stack = [], list(below.get(at, []))
-    while stack:
-        k = stack.pop()
-        inner.append(k)
-        stack.extend(below.get(k, []))
-    varied = [k for k in inner if rows[k].chars and rows[k].low != rows[k].high]
-    # a part with the same text on every page belongs to the template, if the main part varies at all
-    fixed = [
-        k
-        for k in inner
-        if varied and rows[k].chars and rows[k].low == rows[k].high and rows[k].most == 1
-        and pages >= MIN_PAGES and rows[k].pages == rows[at].pages and rows[k].vector == rows[at].vector
-    ]
-    return pd.DataFrame({"host": [host], "main": [at], "fixed": [fixed]})
+    The slot of a token is the nearest element of another class around it, and how many of that class come before.
+    """
+    for batch in batches:
+        rows = []
+        for url, text, members in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            of = {m["key"]: m["class"] for m in members or ()}
+            if not of:
+                continue
+            walk = Walk(text or "")
+            orders: dict = {}
+            slots: dict = {}
+            before: Counter = Counter()
+            around = [None] * len(walk.elements)  # the class of each element or else of what is around it
+            for key, _, index, n in walk.tokens():
+                parent = walk.elements[index][1]
+                own = of.get(key) if n == 1 else None
+                is_text = key & 1
+                outer = around[index] if is_text else (around[parent] if parent >= 0 else None)
+                if own is not None:
+                    orders[own] = _mix(orders.get(own, 0), key)
+                    if outer is not None and outer != own:
+                        slots.setdefault(own, set()).add((outer, before[outer]))
+                    before[own] += 1
+                if not is_text:
+                    around[index] = own if own is not None else outer
+            host = host_of(url)
+            rows += [(host, c, order, len(slots.get(c, ())) <= 1) for c, order in orders.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "class", "order", "nested"]
+        )
 
 
 def templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``host, main, fixed`` for every host, from all of its pages.
+    """``host, fixed``: the text tokens of the template of every host that has any, from all of its pages.
 
-    Tokens are counted in the tasks that read the pages before they meet; only those on ``MIN_SHARE`` of a host's pages
-    go on, at most a page's tokens divided by that share, so a host of any size is a small group.
+    Tokens are counted in the tasks that read the pages, then by host and key; classes are met by their vector.  Only
+    those that hold a text in the class of its own element are checked on the pages.
     """
-    rows = pages.select(F.col(page_id).cast("long"), F.col(url), F.col(html)).mapInArrow(_tokens, _TOKEN_SCHEMA)
+    rows = pages.select(F.col(page_id).cast("long"), F.col(url), F.col(html)).mapInArrow(
+        _tokens, "host string, key bigint, parent bigint, vector bigint, pages bigint, total bigint, kinds bigint"
+    )
     counted = rows.groupBy("host", "key").agg(
-        F.min(F.struct("parent", "label", "bad", "leaf")).alias("of"),
+        F.min("parent").alias("parent"),
         F.bit_xor("vector").alias("vector"),
         F.sum("pages").alias("pages"),
         F.sum("total").alias("total"),
-        F.sum("chars").alias("chars"),
-        F.max("most").alias("most"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
+        F.bit_or("kinds").alias("kinds"),
     )
-    # key 0 is the page itself: its count is the number of pages of the host
-    size = counted.where("key = 0").select("host", F.col("pages").alias("all"))
-    often = counted.join(size, "host").where(F.col("pages") >= MIN_SHARE * F.col("all"))
-    return (
-        often.select("host", "key", "of.*", "vector", "pages", "total", "chars", "most", "low", "high")
-        .groupBy("host")
-        .applyInPandas(_template, "host string, main bigint, fixed array<bigint>")
+    once = materialize(
+        counted.where((F.col("pages") == F.col("total")) & (F.bit_count("kinds") >= SUPPORT)).select(
+            "host", "key", "parent", F.xxhash64("vector", "pages").alias("class")
+        ),
+        "html-tokens",
+    )
+    # a text whose element is in the same class: wherever the element stands, it says the same
+    element = once.select("host", F.col("key").alias("parent"), F.col("class").alias("of"))
+    texts = once.where(F.col("key").bitwiseAND(F.lit(1)) == 1).join(element, ["host", "parent"]).where("class = of")
+    texts = materialize(texts.select("host", "key", "class"), "html-texts")
+    members = once.join(texts.select("host", "class").distinct(), ["host", "class"])
+    by_host = materialize(
+        members.groupBy(F.col("host").alias("__host__")).agg(F.collect_list(F.struct("key", "class")).alias("members")),
+        "html-members",
     )
+    found = _with_host(pages, url).join(by_host, "__host__").select(F.col(url), F.col(html), "members")
+    checked = found.mapInArrow(_checked, "host string, class bigint, order bigint, nested boolean")
+    valid = (
+        checked.groupBy("host", "class")
+        .agg((F.min("order") == F.max("order")).alias("ordered"), F.bool_and("nested").alias("nested"))
+        .where("ordered AND nested")
+    )
+    return texts.join(valid, ["host", "class"]).groupBy("host").agg(F.collect_set("key").alias("fixed"))
 
 
-def _own_main(walk: Walk) -> int | None:
-    """Main container of a page by its own texts, for pages that do not fit their host's template."""
-    n = len(walk.elements)
-    weight = [0] * n
-    for index, piece, _ in walk.texts:
-        if not walk.elements[index][3]:
-            weight[index] += len(piece.strip())
-    children: list = [[] for _ in range(n)]
-    for i in range(n - 1, 0, -1):
-        parent = walk.elements[i][1]
-        if not walk.elements[i][3]:
-            weight[parent] += weight[i]
-            children[parent].append(i)
-    at = 0
-    while True:
-        best = max((c for c in children[at] if not walk.elements[c][4]), key=lambda c: weight[c], default=None)
-        if best is None or weight[best] < MAIN_SHARE * weight[at] or not weight[at]:
-            return at
-        at = best
-
-
-def main_text(page: str, main: int | None, fixed=()) -> str:
-    """Text blocks of the template's main container, or of the page's own where the template does not fit."""
+def _with_host(pages: DataFrame, url: str) -> DataFrame:
+    name = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    return pages.withColumn("__host__", name)
+
+
+def main_text(page: str, fixed=()) -> str:
+    """Text blocks in the slots of the template, those of articles and main parts if the page has any."""
     walk = Walk(page)
     elements = walk.elements
-    roots = {i for i, e in enumerate(elements) if main is not None and e[0] == main}
-    if not roots:
-        roots = {_own_main(walk)}
     fixed = set(fixed)
-    inside = [False] * len(elements)
-    for i, (key, parent, _, bad, _) in enumerate(elements):
-        inside[i] = (i in roots or (parent >= 0 and inside[parent])) and not bad and key not in fixed
+    skipped = set()
+    if fixed:
+        skipped = {index for key, _, index, _ in walk.tokens() if key in fixed}
+    marked = any(e[2] in ("article", "main") and not e[3] for e in elements)
+    inside = [not marked] * len(elements)
+    for i, (_, parent, tag, _) in enumerate(elements):
+        if tag in ("article", "main") or (parent >= 0 and inside[parent]):
+            inside[i] = True
     blocks, last = [], None
     for index, piece, block in walk.texts:
-        if inside[index]:
+        if inside[index] and not elements[index][3] and index not in skipped:
             if block != last:
                 blocks.append([])
                 last = block
@@ -346,8 +353,8 @@ def main_text(page: str, main: int | None, fixed=()) -> str:
 
 def _extract(batches):
     for batch in batches:
-        page, main, fixed = (batch.column(i).to_pylist() for i in (2, 3, 4))
-        texts = [main_text(p or "", m, f or ()) for p, m, f in zip(page, main, fixed, strict=True)]
+        page, fixed = (batch.column(i).to_pylist() for i in (2, 3))
+        texts = [main_text(p or "", f or ()) for p, f in zip(page, fixed, strict=True)]
         n = np.array([len(t) for t in texts], np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n)],
@@ -361,12 +368,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     A null or empty page has the empty text; a page without a URL belongs to the host without a name; repeated rows have a row each;
     an empty table gives no rows; further columns are not looked at.
     """
+    pages = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     # written first, so that Spark knows its size: a small one goes to the pages, not the pages to it
-    deduced = materialize(templates(pages, page_id, url, html), "html-templates").withColumnRenamed("host", "__host__")
-    name = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), name.alias("__host__"))
+    deduced = materialize(templates(pages), "html-templates").withColumnRenamed("host", "__host__")
     return (
-        rows.join(deduced, "__host__", "left")
-        .select(F.col("page_id").cast("long"), "url", "html", "main", "fixed")
+        _with_host(pages, "url")
+        .join(deduced, "__host__", "left")
+        .select("page_id", "url", "html", "fixed")
         .mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
     )

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,10 +55,129 @@ def test_host_template_outweighs_a_single_page(spark):
     assert got[9] == "brief" and got[3] == ("text 3 " * 60).strip()
 
 
+def by_id(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(pages_of(spark, rows)).collect()}
+
+
+def host(i):
+    return f"http://h{i}.example/"
+
+
+def test_every_kind_of_page_ends_whole(spark):
+    """Fragments, text outside of elements, any class of html; lists and tables inside articles; hosts of one to six pages."""
+    shapes = [
+        "words {0} only",
+        "<body><p>one {0}</p><p>two {0}</p></body>",
+        "<p>a {0}</p> and more {0}",
+        "<html><body><p>in {0}</p></body></html> after {0}",
+        "<article><p>lead {0}</p><ul><li>" + "long item {0} " * 30 + "</li></ul><p>end {0}</p></article>",
+        '<article><h1>head {0}</h1><p class=lead>lead {0}</p><div class=body>' + "<p>para {0} words</p>" * 3 + "</div></article>",
+        '<div class="content-sidebar-wrap"><article>real {0} text</article></div>',
+        '<div class="post share"><article>real {0} text</article>around</div>',
+        "<table><tr><td>cell {0}</td></tr></table>",
+    ]
+    shapes += [f'<html class="{c}"><body><div id=x>text {{0}}</div></body></html>' for c in ("no-js", "page", "wp", "home", "js")]
+    rows, want, n = [], {}, 0
+    for h, shape in enumerate(shapes):
+        for size in (1, 2, 3, 6):
+            for i in range(size):
+                rows.append((n, host(f"{h}-{size}"), shape.format(f"w{n}q")))
+                walk = html_text.Walk(rows[-1][2])
+                blocks = {}
+                for _, piece, block in walk.texts:
+                    blocks[block] = " ".join((blocks.get(block, "") + piece).split())
+                want[n] = "\n".join(b for b in blocks.values() if b and b != "around")
+                n += 1
+    assert by_id(spark, rows) == want
+
+
+def test_condemned_parts(spark):
+    page = (
+        "<body><div class='site_footer'>top</div><div class='comments-open'><p>a{0}</p></div><div class='x-comments'>"
+        "<article>c{0}</article></div><div id=page-sidebar><article class=post><p>b{0}</p></article>s{0}</div>"
+        "<aside><article>t{0}</article></aside><span class=ad>buy</span></body>"
+    )
+    got = by_id(spark, [(i, host(1), page.format(i)) for i in range(2)])
+    assert got == {i: f"b{i}" for i in range(2)}
+    got = by_id(spark, [(i, host(1), page.format(i).replace("article", "div")) for i in range(2)])
+    assert got == {i: f"a{i}" for i in range(2)}
+
+
+def test_copies_are_no_template(spark):
+    """The same article on many pages of a host, and near copies of it, keep their texts."""
+    page = "<html><body><div><h1>Head of it</h1><p>{}</p></div><div><p>end {}</p></div></body></html>"
+    rows = [(i, host(1), page.format("same words", "x")) for i in range(9)]
+    assert by_id(spark, rows) == {i: "Head of it\nsame words\nend x" for i in range(9)}
+
+
+def plain_fixed(pages):
+    """Keys of the template's texts of one host by comparing whole vectors of all tokens with each other."""
+    walks = [(i, html_text.Walk(p)) for i, p in pages]
+    vectors, parents, kinds = {}, {}, {}
+    for at, (_, walk) in enumerate(walks):
+        kind = min((zlib.crc32(t.encode()) for t in walk.own_texts().values()), default=0)
+        for key, parent, _, n in walk.tokens():
+            vectors.setdefault(key, [0] * len(walks))[at] = n
+            parents[key] = parent
+            kinds.setdefault(key, set()).add(kind)
+    classes = {}
+    for key, v in vectors.items():
+        if max(v) == 1 and len(kinds[key]) >= html_text.SUPPORT:
+            classes.setdefault(tuple(v), set()).add(key)
+    fixed = set()
+    for v, members in classes.items():
+        texts = {k for k in members if k & 1 and parents[k] in members}
+        if texts:
+            orders = set()
+            for at, (_, walk) in enumerate(walks):
+                if v[at]:
+                    orders.add(tuple(k for k, *_ in walk.tokens() if k in members))
+            if len(orders) == 1:
+                fixed |= texts
+    return fixed
+
+
+def test_template_equals_whole_vectors(spark):
+    rng = random.Random(4)
+    parts = ["<div class=a>fixed a</div>", "<div class=b>fixed b</div>", "<section id=c><h2>fixed c</h2></section>"]
+    hosts = {}
+    for h in range(6):
+        pages = []
+        for i in range(rng.randrange(1, 12)):
+            mine = [p for p in parts if rng.random() < (1 if h % 2 else 0.7)]
+            if h == 2:
+                rng.shuffle(mine)
+            body = "".join(mine) + "<div class=m>" + "".join(f"<p>{rng.random()}</p>" for _ in range(rng.randrange(1, 4))) + "</div>"
+            pages.append((h * 100 + i, f"<html><body>{body}</body></html>"))
+        hosts[f"h{h}.example"] = pages
+    rows = [(i, f"http://{h}/x", p) for h, pages in hosts.items() for i, p in pages]
+    got = {r.host: set(r.fixed) for r in html_text.templates(pages_of(spark, rows)).collect()}
+    want = {h: f for h, pages in hosts.items() if (f := plain_fixed(pages))}
+    assert want and got == want
+
+
+def test_order_and_nesting_are_checked():
+    """A class whose tokens change places, or lie in two slots of the class around them, is not valid."""
+    def checks(pages, of):
+        batch = pa.RecordBatch.from_pylist(
+            [{"url": "http://h/", "html": p, "members": [{"key": k, "class": c} for k, c in of.items()]} for p in pages],
+            schema=pa.schema([("url", pa.string()), ("html", pa.string()), ("members", pa.list_(pa.struct([("key", pa.int64()), ("class", pa.int64())])))]),
+        )
+        return next(html_text._checked([batch])).to_pylist()
+
+    one, two = "<div id=o><i class=ad></i><div id=a>a</div><div id=p>p</div><div id=b>b</div></div>", "<div id=o><div id=b>b</div><div id=p>p</div><div id=a>a</div></div>"
+    keys = {e[2] + str(n): e[0] for n, e in enumerate(html_text.Walk(one.replace("<i class=ad></i>", "")).elements)}
+    o, a, p, b = (keys[k] for k in ("div1", "div2", "div3", "div4"))
+    rows = checks([one, two], {a: 1, b: 1, o: 2, p: 2})
+    assert len({r["order"] for r in rows if r["class"] == 1}) == 2 and len({r["order"] for r in rows if r["class"] == 2}) == 1
+    assert [r["nested"] for r in rows if r["class"] == 1] == [False, False]
+    assert all(r["nested"] for r in checks([one], {a: 1, b: 1, o: 2}))
+
+
 def test_long_and_broken_pages():
-    assert html_text.main_text("<div>" * 3000 + "deep" + "<b" * 50, None) in ("deep", "deep<b" + "<b" * 49)
+    assert html_text.main_text("<div>" * 3000 + "deep" + "<b" * 50) in ("deep", "deep<b" + "<b" * 49)
     long = "<article>" + "".join(f"<p>w{i}" for i in range(20_000)) + "</article>"
-    assert html_text.main_text(long, None).count("\n") == 19_999
+    assert html_text.main_text(long).count("\n") == 19_999
 
 
 # archives
