@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F, types as T
 
 from lagfield.operators import kernels
-from lagfield.operators.layout import number_frames, sound_images
+from lagfield.operators.layout import SeriesFacts, number_frames, sound_frames
 from lagfield.schema import KEYS, types_of
 
 #: Samples one chunk of consecutive frames may hold.  It bounds the memory of a
@@ -62,6 +62,14 @@ def chunk_frames(height="height", width="width"):
     return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.lit(CHUNK_SAMPLES) / samples))).cast("int")
 
 
+def without_mixed(chunked, facts, window, chunk=None):
+    """Chunks of the series whose images are all of one size; the others are told apart by their facts alone."""
+    low = F.lit(int(chunk) if chunk is not None else CHUNK_FRAMES[0])
+    numbers = F.sequence(F.lit(0), F.floor((F.col("last") + window // 2) / low).cast("int"))
+    odd = facts.mixed().select(*facts.keys, F.explode(numbers).alias("chunk"))
+    return chunked.join(odd, [*facts.keys, "chunk"], "left_anti")
+
+
 def with_chunks(frames, window, chunk=None):
     """Copy each frame to every chunk whose windows need it.
 
@@ -92,7 +100,7 @@ def chunk_residuals(chunked, keys=KEYS, window=3, align=None):
     """
     window = check_window(window)
     half = window // 2
-    carried = [c for c in chunked.columns if c not in ("chunk", "_span", "reference", "first_frame", "pixels")]
+    carried = [c for c in chunked.columns if c not in ("group", "chunk", "_span", "reference", "first_frame", "pixels")]
     schema = T.StructType(
         types_of(chunked, carried)
         + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pixels", "delta")]
@@ -124,14 +132,18 @@ def chunk_residuals(chunked, keys=KEYS, window=3, align=None):
     return chunked.groupBy(*keys, "chunk").applyInArrow(residuals, schema)
 
 
-def detrend_frames(frames, keys=KEYS, window=3, chunk=None):
+def detrend_frames(frames, keys=KEYS, window=3, chunk=None, gapless=None):
     """Detrend the array layout: one shuffle of whole images, no pixel rows.
 
     Frames keep their numbers; an image that is absent or damaged is one of
-    missing samples.
+    missing samples.  Images without a key or size, and series of several
+    sizes, have no rows (:func:`lagfield.operators.layout.series_status` names
+    them).
     """
-    base = sound_images(frames.select(*keys, "frame", "height", "width", "pixels").withColumn("_number", F.col("frame")))
-    chunked = with_chunks(number_frames(base, keys), check_window(window), chunk)
+    window = check_window(window)
+    base = sound_frames(frames.select(*keys, "frame", "height", "width", "pixels"), keys)
+    base = number_frames(base.withColumn("_number", F.col("frame")), keys, gapless)
+    chunked = without_mixed(with_chunks(base, window, chunk), SeriesFacts(base, keys), window, chunk)
     residual = chunk_residuals(chunked, keys, window)
     return residual.where(F.col("delta").isNotNull()).select(
         *keys,

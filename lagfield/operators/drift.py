@@ -12,7 +12,7 @@ from pyspark.sql import functions as F, types as T
 
 from lagfield.operators import kernels
 from lagfield.operators.detrend import chunk_frames
-from lagfield.operators.layout import stack_shape, with_shape
+from lagfield.operators.layout import named, sound_images, stack_shape, with_shape
 from lagfield.schema import KEYS, types_of
 
 # Fixed value: width of the smoothing of the correlation, in samples.
@@ -41,51 +41,78 @@ def region(frames, roi=None):
     return framed.withColumn("roi", F.when((F.col("roi_h") > 0) & (F.col("roi_w") > 0), cut)).drop("_y", "_x")
 
 
-def reference_per_chunk(frames, keys=KEYS, roi=None, halo=0):
-    """The region of the first frame, once for every chunk of its series."""
-    span = chunk_frames()
-    first = frames.groupBy(*keys).agg(
-        F.min("frame").alias("frame"),
-        F.max("frame").alias("_last"),
-    )
-    # frame numbers only; the pixels of the first frame follow by an equi-join
-    heads = region(frames.join(first, [*keys, "frame"]), roi).withColumn("_span", span)
-    chunks = F.sequence(
-        F.floor(F.greatest(F.col("frame") - halo, F.lit(0)) / F.col("_span")).cast("int"),
-        F.floor((F.col("_last") + halo) / F.col("_span")).cast("int"),
+def first_regions(frames, keys=KEYS, roi=None):
+    """The region of the first frame of every series (``head``), with the numbers of its first and last frame.
+
+    Each task keeps the earliest region it reads of a series, so no image but
+    these few is shuffled.
+    """
+    return region(frames, roi).groupBy(*keys).agg(
+        F.min("frame").alias("first_frame"),
+        F.max("frame").alias("last_frame"),
+        F.min_by(F.struct("roi", "roi_h", "roi_w", "height", "width"), "frame").alias("head"),
     )
-    return heads.select(
+
+
+def _with_reference(frames, keys, roi):
+    """Images with the region of the first frame of their series: one exchange, by chunks of frames.
+
+    An image without a complete key, or of another size than the first one, has no partner.
+    """
+    chunked = frames.withColumn("chunk", F.floor(F.col("frame") / chunk_frames()).cast("int"))
+    heads = first_regions(frames.where(named(keys)), keys, roi)
+    span = chunk_frames("head.height", "head.width")
+    low, high = (F.floor(F.col(c) / span).cast("int") for c in ("first_frame", "last_frame"))
+    copies = heads.select(
         *keys,
-        F.col("frame").alias("first_frame"), F.col("roi").alias("reference"), F.explode(chunks).alias("chunk")
+        "first_frame",
+        F.col("head.roi").alias("reference"),
+        F.col("head.roi_h").alias("ref_h"),
+        F.col("head.roi_w").alias("ref_w"),
+        F.explode(F.sequence(low, high)).alias("chunk"),
     )
+    return chunked.join(copies, [*keys, "chunk"], "left")
+
+
+def _shifts(batch, keys, column, sigma):
+    """Shift of each row of a batch, (0, 0) for first frames and NaN where there is none; ``column`` holds regions."""
+    out = np.full((len(batch), 2), np.nan)
+    frame, first = (batch[c].to_numpy(zero_copy_only=False) for c in ("frame", "first_frame"))
+    out[frame == first] = 0
+    sizes = [batch[c].to_numpy(zero_copy_only=False) for c in ("roi_h", "roi_w", "ref_h", "ref_w")]
+    both = np.asarray(batch[column].is_valid()) & np.asarray(batch["reference"].is_valid()) & (frame != first)
+    both &= (sizes[0] == sizes[2]) & (sizes[1] == sizes[3])
+    # rows of one series share the reference, and so its spectrum
+    groups = {}
+    for row, name in zip(np.flatnonzero(both).tolist(), zip(*[batch[k].take(pa.array(np.flatnonzero(both))).to_pylist() for k in keys])):
+        groups.setdefault(name, []).append(row)
+    for rows in groups.values():
+        shape = (int(sizes[0][rows[0]]), int(sizes[1][rows[0]]))
+        anchor = kernels.to_matrix(batch["reference"].slice(rows[0], 1)).reshape(shape)
+        images = kernels.to_matrix(batch[column].take(pa.array(rows))).reshape(-1, *shape)
+        out[rows] = kernels.peak_shifts(anchor, images, sigma)
+    return out
 
 
 def estimate_drift(frames, keys=KEYS, roi=None, sigma=SIGMA):
     """Integer shift (dy, dx) that moves each frame onto the first one.
 
     One row per frame; the first frame has (0, 0).  NULL where samples of the
-    region are missing.
+    region are missing, the image is damaged or of another size than the first,
+    or its key is not complete.
     """
     schema = T.StructType(types_of(frames, [*keys, "frame"]) + [T.StructField(c, T.IntegerType()) for c in ("dy", "dx")])
-    base = frames.select(*keys, "frame", "height", "width", "pixels")
-    chunked = region(base, roi).withColumn("chunk", F.floor(F.col("frame") / chunk_frames()).cast("int"))
-    pairs = chunked.select(*keys, "chunk", "frame", "roi", "roi_h", "roi_w").join(
-        reference_per_chunk(base, keys, roi), [*keys, "chunk"]
-    )
+    base = region(sound_images(frames.select(*keys, "frame", "height", "width", "pixels")), roi)
+    pairs = _with_reference(base, keys, roi)
 
     def shifts(batches):
         for batch in batches:
-            first = batch["frame"].to_numpy() == batch["first_frame"].to_numpy()
-            out = [(0, 0) if f else (None, None) for f in first]
-            both = np.asarray(batch["roi"].is_valid()) & np.asarray(batch["reference"].is_valid()) & ~first
-            for row in np.flatnonzero(both):
-                shape = (batch["roi_h"][row].as_py(), batch["roi_w"][row].as_py())
-                anchor, image = (kernels.to_matrix(batch[c].slice(row, 1)).reshape(shape) for c in ("reference", "roi"))
-                out[row] = kernels.peak_shift(anchor, image, sigma) or (None, None)
-            shift = [pa.array([o[i] for o in out], type=pa.int32()) for i in (0, 1)]
+            found = _shifts(batch, keys, "roi", sigma)
+            shift = [pa.array(found[:, i], from_pandas=True).cast(pa.int32()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch[k] for k in [*keys, "frame"]] + shift, names=schema.names)
 
-    return pairs.select(*keys, "frame", "first_frame", "roi", "roi_h", "roi_w", "reference").mapInArrow(shifts, schema)
+    wanted = [*keys, "frame", "first_frame", "roi", "roi_h", "roi_w", "reference", "ref_h", "ref_w"]
+    return pairs.select(*wanted).mapInArrow(shifts, schema)
 
 
 def apply_drift(df, drift, keys=KEYS, shape=None):
@@ -110,8 +137,33 @@ def apply_drift(df, drift, keys=KEYS, shape=None):
 
 
 def drift_correct(frames, keys=KEYS, roi=None, sigma=SIGMA):
-    """Estimate the drift of every frame and undo it."""
-    return apply_drift(frames, estimate_drift(frames, keys, roi, sigma), keys)
+    """Estimate the drift of every frame and undo it; images are shuffled once.
+
+    An image that cannot be placed has NULL pixels.  Columns beside the layout's
+    own stay.
+    """
+    columns = frames.columns
+    base = region(sound_images(frames).withColumn("pixels", F.col("pixels").cast("array<double>")), roi)
+    pairs = _with_reference(base, keys, roi)
+    carried = [c for c in columns if c != "pixels"]
+    schema = T.StructType(types_of(frames, carried) + [T.StructField("pixels", T.ArrayType(T.DoubleType()))])
+
+    def move(batches):
+        for batch in batches:
+            found = _shifts(batch, keys, "roi", sigma)
+            placed = np.flatnonzero(~np.isnan(found[:, 0]))
+            lists = [None] * len(batch)
+            pixels = batch["pixels"]
+            sizes = [batch[c].to_numpy(zero_copy_only=False) for c in ("height", "width")]
+            for row in placed.tolist():
+                dy, dx = (int(v) for v in found[row])
+                image = kernels.to_matrix(pixels.slice(row, 1)).reshape(int(sizes[0][row]), int(sizes[1][row]))
+                lists[row] = np.roll(image, (dy, dx), axis=(0, 1)).reshape(-1)
+            moved = pa.array(lists, pa.list_(pa.float64()), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([batch[c] for c in carried] + [moved], names=schema.names)
+
+    wanted = [c for c in ("first_frame", "roi", "roi_h", "roi_w", "reference", "ref_h", "ref_w") if c not in carried]
+    return pairs.select(*carried, "pixels", *wanted).mapInArrow(move, schema).select(*columns)
 
 
 def chunk_aligner(roi=None, sigma=SIGMA):
@@ -135,10 +187,10 @@ def chunk_aligner(roi=None, sigma=SIGMA):
         if reference is None:
             return out
         anchor = np.array(reference, dtype=float).reshape(y1 - y0, x1 - x0)
-        for i, image in enumerate(stack):
-            shift = (0, 0) if is_first[i] else kernels.peak_shift(anchor, image[y0:y1, x0:x1], sigma)
-            if shift is not None:
-                out[i] = np.roll(image, shift, axis=(0, 1))
+        shifts = kernels.peak_shifts(anchor, stack[:, y0:y1, x0:x1], sigma)
+        shifts[is_first] = 0
+        for i in np.flatnonzero(~np.isnan(shifts[:, 0])):
+            out[i] = np.roll(stack[i], shifts[i].astype(int), axis=(0, 1))
         return out
 
     return align

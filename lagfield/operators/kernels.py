@@ -7,6 +7,9 @@ grouping, shuffling, joining and reducing are Spark's.
 import numpy as np
 import pyarrow as pa
 
+#: Samples that go through one transform together.
+FFT_SAMPLES = 1 << 20
+
 
 def to_matrix(column):
     """Equal-length Arrow list column -> float64 matrix, NULL as NaN."""
@@ -86,34 +89,46 @@ def tile_view(images, size, step):
     return view[:, ::step, ::step]
 
 
-def smooth(image, sigma):
-    """Gaussian smoothing, four sigma wide, with half-sample mirrored borders."""
+def tap_matrix(size, sigma):
+    """Gaussian smoothing of an axis of ``size`` samples as a matrix: four sigma wide, half-sample mirrored borders."""
     radius = int(4.0 * sigma + 0.5)
     taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     taps /= taps.sum()
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (radius, radius)
-        padded = np.pad(image, pad, mode="symmetric")
-        image = np.apply_along_axis(np.convolve, axis, padded, taps, "valid")
-    return image
+    at = (np.arange(size)[:, None] + np.arange(-radius, radius + 1)) % (2 * size)
+    at = np.where(at < size, at, 2 * size - 1 - at)
+    matrix = np.zeros((size, size))
+    np.add.at(matrix, (np.arange(size)[:, None], at), taps)
+    return matrix
+
+
+def smooth(image, sigma):
+    """Both axes of an image smoothed."""
+    return tap_matrix(image.shape[0], sigma) @ image @ tap_matrix(image.shape[1], sigma).T
 
 
-def peak_shift(reference, image, sigma):
-    """Shift (dy, dx) that moves ``image`` onto ``reference``.
+def peak_shifts(reference, images, sigma):
+    """Shift (dy, dx) that moves each of ``images`` onto ``reference``; NaN where there is none.
 
     Zero-padded cross-correlation, cropped to the central lags, smoothed, first
     maximum in row-major order.  Values are compared to 12 digits of the
-    largest one so that equal peaks do not depend on rounding noise.
+    largest one so that equal peaks do not depend on rounding noise.  The
+    reference's spectrum is taken once, the images' in slices of bounded size.
     """
     height, width = reference.shape
     shape = (2 * height - 1, 2 * width - 1)
-    cross = np.fft.irfft2(np.fft.rfft2(reference, shape) * np.conj(np.fft.rfft2(image, shape)), shape)
     lags_y = np.arange(height) - height // 2
     lags_x = np.arange(width) - width // 2
-    cross = smooth(cross[np.ix_(lags_y % shape[0], lags_x % shape[1])], sigma)
-    top = np.abs(cross).max()
-    if not np.isfinite(top):
-        return None
-    y, x = np.unravel_index(np.argmax(np.round(cross / top, 12) if top > 0 else cross), cross.shape)
-    return int(lags_y[y]), int(lags_x[x])
+    anchor = np.fft.rfft2(reference, shape)
+    down, along = tap_matrix(height, sigma), tap_matrix(width, sigma).T
+    out = np.full((len(images), 2), np.nan)
+    step = max(1, FFT_SAMPLES // (shape[0] * shape[1]))
+    for first in range(0, len(images), step):
+        spectra = anchor * np.conj(np.fft.rfft2(images[first : first + step], shape))
+        cross = np.fft.irfft2(spectra, shape)[:, (lags_y % shape[0])[:, None], lags_x % shape[1]]
+        cross = (down @ cross @ along).reshape(len(cross), -1)
+        top = np.abs(cross).max(axis=1)
+        known = np.isfinite(top)
+        scaled = np.round(cross / np.where(known & (top > 0), top, 1.0)[:, None], 12)
+        y, x = np.unravel_index(np.argmax(np.where(known[:, None], scaled, 0), axis=1), (height, width))
+        out[first : first + step] = np.where(known[:, None], np.stack([lags_y[y], lags_x[x]], 1), np.nan)
+    return out

@@ -44,14 +44,18 @@ def as_frames(df, keys=KEYS):
     return df if "pixels" in df.columns else to_frames(df, keys)
 
 
-def number_frames(frames, keys=KEYS):
+def number_frames(frames, keys=KEYS, gapless=None, listed=None):
     """Frames numbered by their position in the series, from 0.
 
     Windows and bootstrap draws go by position.  A series whose frame numbers have no gaps is in order as it is; only where
-    some series has gaps are positions, found from keys and numbers alone, joined to the images.
+    some series has gaps are positions, found from keys and numbers alone, joined to the images.  Whether any has is
+    looked up while the plan is built, unless ``gapless`` says that none has.  ``listed`` may be a cheaper table with the
+    same (keys, frame), such as the long layout the images come from.
     """
+    if gapless:
+        return frames
     keys = list(keys)
-    numbers = frames.select(*keys, "frame")
+    numbers = (frames if listed is None else listed).select(*keys, "frame")
     spans = numbers.groupBy(*keys).agg(
         (F.max("frame") - F.min("frame") + 1 - F.count_distinct("frame")).alias("_gaps")
     )
@@ -74,6 +78,76 @@ def sound_images(frames):
     return frames.withColumn("pixels", F.when(fills, F.col("pixels").cast("array<double>")).otherwise(blank))
 
 
+def named(keys=KEYS):
+    """True for images with a complete key, a frame number and a size; others cannot take part in any plan."""
+    whole = F.col("height").isNotNull() & F.col("width").isNotNull()
+    for c in [*keys, "frame"]:
+        whole = whole & F.col(c).isNotNull()
+    return whole & (F.col("height") >= 0) & (F.col("width") >= 0)
+
+
+def sound_frames(frames, keys=KEYS):
+    """The images every plan works on: named ones, damaged ones as images of missing samples."""
+    return sound_images(frames.where(named(keys)))
+
+
+FACTS = ("first", "last", "n", "height", "width", "low_height", "low_width")
+
+
+class SeriesFacts:
+    """Frame numbers and sizes of every series, one row each, from columns without pixels.
+
+    The values travel as one array behind an exchange, so that all parts of a plan that ask for some of them read the
+    same exchange again.
+    """
+
+    def __init__(self, frames, keys=KEYS):
+        self.keys = list(keys)
+        values = [F.min("frame"), F.max("frame"), F.count(F.lit(1))]
+        values += [f(c) for f in (F.max, F.min) for c in ("height", "width")]
+        grouped = frames.groupBy(*self.keys).agg(F.array(*[v.cast("long") for v in values]).alias("_facts"))
+        self.packed = grouped.repartition(*self.keys)
+
+    def select(self, *names):
+        return self.packed.select(*self.keys, *[F.col("_facts")[FACTS.index(c)].cast("int").alias(c) for c in names])
+
+    def mixed(self):
+        """Series whose images are not all of one size."""
+        sizes = self.select("last", "height", "width", "low_height", "low_width")
+        return sizes.where("height <> low_height OR width <> low_width")
+
+
+def series_status(frames, keys=KEYS, facts=None):
+    """One row, with ``status``, for each series that gives no result because of its keys or sizes.
+
+    ``null_key``: images without a complete key or frame number, in one row for each key as it is; ``no_size``: no image
+    has a size; ``mixed_sizes``: images of several sizes; ``empty_image``: images without samples.  ``frames`` are the images as they come.  No pixel is read.
+    """
+    keys = list(keys)
+    facts = facts or SeriesFacts(frames.where(named(keys)), keys)
+    whole = facts.select("height", "width", "low_height", "low_width")
+    mixed = (F.col("height") != F.col("low_height")) | (F.col("width") != F.col("low_width"))
+    found = whole.select(
+        *keys,
+        "height",
+        "width",
+        F.when(mixed, "mixed_sizes").when(F.col("height") * F.col("width") == 0, "empty_image").alias("status"),
+    ).where("status IS NOT NULL")
+    unnamed = F.lit(False)
+    for c in [*keys, "frame"]:
+        unnamed = unnamed | F.col(c).isNull()
+    odd = frames.where(~F.coalesce(named(keys), F.lit(False))).select(*keys, unnamed.alias("_unnamed")).distinct()
+    odd = odd.groupBy(*keys).agg(F.bool_or("_unnamed").alias("_unnamed"))
+    # a series of which some images have a size goes on with these
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}"))
+    lone = odd.where("NOT _unnamed").alias("o").join(whole.alias("w"), same, "left_anti")
+    unsized = lone.select(*keys, F.lit("no_size").alias("status"))
+    nameless = odd.where("_unnamed").select(*keys, F.lit("null_key").alias("status"))
+    return found.unionByName(unsized.unionByName(nameless), allowMissingColumns=True)
+
+
 def stack_shape(df, keys=KEYS):
     """Frame count, height and width of every image series."""
     if "pixels" in df.columns:

@@ -12,6 +12,8 @@ from lagfield.schema import KEYS, TILE, types_of
 REPLICATES = 10
 #: Doubles an accumulator may hold before a task emits its partial sums.
 FLUSH_DOUBLES = 1 << 24
+#: Lags whose sums travel in one row.
+LAG_BLOCK = 4096
 COUNTS = ("n_rows", "n_frames", "n_zero")
 MOMENTS = ("n_all", "n_seen", "v_sum", "v_sq")
 
@@ -56,17 +58,20 @@ def map_status(bessel, n_frames, n_rows, window, n_zero=None):
     )
 
 
-def draw_weights(frames, keys=KEYS, window=1, reps=REPLICATES, seed=0):
+def draw_weights(frames, keys=KEYS, window=1, reps=REPLICATES, seed=0, facts=None):
     """How often each frame is drawn in each bootstrap replicate.
 
     One row per frame that a series keeps after detrending, with an array of
     ``reps`` counts; frames never drawn are absent.  Draw ``d`` of replicate
     ``r`` takes frame md5(seed|r|d) mod n, so results are repeatable on any
-    cluster.  Rows are small and grouped by frame, never by series.
+    cluster.  Rows are small and grouped by frame, never by series.  ``facts``
+    of the same frames save a pass over them.
     """
-    kept = frames.groupBy(*keys).agg(
-        F.min("frame").alias("_first"), F.count(F.lit(1)).alias("_count")
-    ).withColumns({"_n": F.col("_count") - (window - 1), "_first": F.col("_first") + window // 2})
+    if facts is not None:
+        spans = facts.select("first", "n").withColumnsRenamed({"first": "_first", "n": "_count"})
+    else:
+        spans = frames.groupBy(*keys).agg(F.min("frame").alias("_first"), F.count(F.lit(1)).alias("_count"))
+    kept = spans.withColumns({"_n": F.col("_count") - (window - 1), "_first": F.col("_first") + window // 2})
     draws = kept.where("_n > 0").select(
         *keys, "_first", "_n", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_draw")
     ).select(
@@ -109,9 +114,14 @@ def bootstrap_sd(frame_corr, keys=KEYS, reps=REPLICATES, seed=0, frames=None):
 def replicate_sd(reps):
     """s.d. over replicates from the sums ``_s0 ..`` and draw counts ``_w0 ..``."""
     values = [F.col(f"_s{r}") / F.nullif(F.col(f"_w{r}"), F.lit(0.0)) for r in range(reps)]
-    mean = sum(values[1:], values[0]) / reps
+    return replicate_deviation(values) * small_sample_factor(F.col("n_frames"))
+
+
+def replicate_deviation(values):
+    """Population s.d. of the replicates' values."""
+    mean = sum(values[1:], values[0]) / len(values)
     square = sum([(v - mean) * (v - mean) for v in values[1:]], (values[0] - mean) * (values[0] - mean))
-    return F.sqrt(square / reps) * small_sample_factor(F.col("n_frames"))
+    return F.sqrt(square / len(values))
 
 
 def pair_uncertainty(maps, uncertainties, keys=KEYS):
@@ -119,35 +129,44 @@ def pair_uncertainty(maps, uncertainties, keys=KEYS):
     return maps.join(uncertainties.select(*keys, "dy", "dx", "g_sd"), [*keys, "dy", "dx"], "left")
 
 
+def sum_fields(reps, tile):
+    """Columns of a partial sum besides keys: whole numbers, counts, and arrays."""
+    numbers = [*(TILE if tile else ()), "height", "width", "dy0", "dx0", "n_dx", "block"]
+    return numbers, [*COUNTS, *(MOMENTS if tile else ())], (["drawn"] if reps else []) + ["sums"]
+
+
 def partial_sums(residuals, keys=KEYS, max_lag=None, reps=0, tile=None):
     """Correlate images and add up the correlations inside each task.
 
     Input rows hold an image and its residual (``pixels``, ``delta``).  Output
-    rows hold, for a part of the frames, the sums over frames per lag: the
-    combine step before the shuffle, which shrinks the data by the number of
-    frames per chunk.  With ``tile = (size, step)`` the overlapping tiles are
-    views of the same images, so the images are shuffled once and not once per
-    tile; the tile origin joins the keys.
+    rows hold, for a part of the frames, the sums of a block of
+    ``LAG_BLOCK`` lags: ``sums`` lists them for the plain sum and then for each
+    replicate, ``drawn`` how many frames each replicate drew, and the counts
+    stand once a row.  This is the combine step before the shuffle.  With
+    ``tile = (size, step)`` the overlapping tiles are views of the same images,
+    so the images are shuffled once and not once per tile; the tile origin
+    joins the keys.
 
     Counts: ``n_rows`` frames with a full window, ``n_frames`` of them with a
     correlation, ``n_zero`` of them with mean 0; per tile, over all frames, the
     samples ``n_all``, the present ones ``n_seen`` and their moments.
     """
-    numbers = list(COUNTS) + (list(MOMENTS) if tile else [])
-    numbers += [f"w{r}" for r in range(reps)] + ["s"] + [f"s{r}" for r in range(reps)]
+    numbers, counts, arrays = sum_fields(reps, tile)
     schema = T.StructType(
         types_of(residuals, keys)
-        + [T.StructField(c, T.IntegerType()) for c in [*(TILE if tile else ()), "height", "width", "dy", "dx"]]
-        + [T.StructField(c, T.DoubleType()) for c in numbers]
+        + [T.StructField(c, T.IntegerType()) for c in numbers]
+        + [T.StructField(c, T.DoubleType()) for c in counts]
+        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in arrays]
     )
     columns = [*keys, "height", "width", "pixels", "delta"] + (["weights"] if reps else [])
 
     def emit(store, key_types):
         for (key, _, _), sums in store.items():
-            whole, parts = sums.columns()
-            rows = np.zeros(len(parts[0]), dtype=np.int32)
-            names = [pa.array([k], type=t).take(pa.array(rows)) for k, t in zip(key, key_types)]
-            yield pa.RecordBatch.from_arrays(names + [pa.array(c) for c in whole + parts], names=schema.names)
+            for whole, parts, lists in sums.blocks():
+                rows = pa.array(np.zeros(len(parts[0]), dtype=np.int32))
+                names = [pa.array([k], type=t).take(rows) for k, t in zip(key, key_types)]
+                values = [pa.array(c) for c in whole + parts] + [kernels.to_lists(c) for c in lists]
+                yield pa.RecordBatch.from_arrays(names + values, names=schema.names)
 
     def combine(batches):
         store, held, key_types = {}, 0, None
@@ -218,47 +237,102 @@ class LagSums:
             self.drawn += np.tensordot(drawn, valid.astype(float), axes=1)
             self.total[1:] += np.tensordot(drawn, g, axes=1)
 
-    def columns(self):
-        """Integer and float columns, one entry per tile and lag."""
-        shape = self.total.shape[1:]
-        iy, ix, dy, dx = np.indices(shape, dtype=np.int32).reshape(4, -1)
-        dy, dx = dy + np.int32(self.dy0), dx + np.int32(self.dx0)
-        origin = [iy * np.int32(self.tile[1]), ix * np.int32(self.tile[1])] if self.tile else []
-        size = [np.full(len(dy), n, dtype=np.int32) for n in (self.height, self.width)]
+    def blocks(self):
+        """Whole numbers, counts and arrays of the partial sums, one row for each tile, for one block of lags after another."""
+        n_tiles, n_lags = self.tiles[0] * self.tiles[1], self.total.shape[-2] * self.total.shape[-1]
+        sums = self.total.reshape(self.reps + 1, n_tiles, n_lags).transpose(1, 0, 2)
+        ty, tx = np.indices(self.tiles, dtype=np.int32).reshape(2, -1)
+        origin = [ty * np.int32(self.tile[1]), tx * np.int32(self.tile[1])] if self.tile else []
+        counts = list(self.counts.reshape(len(COUNTS), -1))
+        moments = list(self.moments.reshape(len(MOMENTS), -1)) if self.tile else []
+        drawn = [np.ascontiguousarray(self.drawn.reshape(self.reps, -1).T)] if self.reps else []
+        for block, first in enumerate(range(0, n_lags, LAG_BLOCK)):
+            place = (self.height, self.width, self.dy0, self.dx0, self.total.shape[-1], block)
+            whole = origin + [np.full(n_tiles, n, dtype=np.int32) for n in place]
+            part = np.ascontiguousarray(sums[:, :, first : first + LAG_BLOCK]).reshape(n_tiles, -1)
+            yield whole, counts + moments, [*drawn, part]
+
+
+def total_sums(partials, keys=KEYS, reps=0, tile=False):
+    """Partial sums of the same block added up, element by element.
+
+    One shuffle on (keys, block).  A task reads its rows in order and holds the
+    sums of one block only, however many parts a series has.
+    """
+    numbers, counts, arrays = sum_fields(reps, tile)
+    names = [*keys, *numbers]
+    # blocks of one map differ in nothing else, so sizes belong to the key
+    ordered = partials.repartition(*[F.col(c) for c in [*keys, *(TILE if tile else ()), "block"]]).sortWithinPartitions(*names)
+    schema = partials.schema
 
-        def spread(values):
-            return np.broadcast_to(values[..., None, None], (len(values), *shape)).reshape(len(values), -1)
+    def add(batches):
+        held, values = None, None
 
-        floats = list(spread(self.counts))
-        if self.tile:
-            # per-tile moments ride on the zero lag, so sums over lags stay right
-            floats += list(np.where((dy == 0) & (dx == 0), spread(self.moments), 0.0))
-        floats += list(spread(self.drawn)) if self.reps else []
-        floats += list(self.total.reshape(self.reps + 1, -1))
-        return [*origin, *size, dy, dx], floats
+        def row():
+            columns = [pa.array([held[n]], schema.field(n).type) for n in names]
+            columns += [pa.array([v]) for v in values[0]]
+            return pa.RecordBatch.from_arrays(columns + [kernels.to_lists(v[None]) for v in values[1]], names=schema_names)
+
+        schema_names = [*names, *counts, *arrays]
+        for batch in batches:
+            schema = batch.schema
+            rows = batch.select(names).to_pylist()
+            matrix = np.stack([batch[c].to_numpy() for c in counts], 1)
+            for i, place in enumerate(rows):
+                lists = [batch[c][i].values.to_numpy() for c in arrays]
+                if place == held:
+                    values[0] += matrix[i]
+                    for total, more in zip(values[1], lists):
+                        total += more
+                else:
+                    if held is not None:
+                        yield row()
+                    held, values = place, (matrix[i].copy(), [v.copy() for v in lists])
+        if held is not None:
+            yield row()
+
+    return ordered.mapInArrow(add, schema)
 
 
 def finish_sums(partials, keys=KEYS, bessel="reduced", window=3, reps=0):
-    """Correlation maps from partial sums: one shuffle on (keys, lag)."""
-    lag_keys = [*keys, "dy", "dx"]
-    plain = [*COUNTS, "s"]
-    extra = [c for c in MOMENTS if c in partials.columns]
-    summed = partials.groupBy(*lag_keys).agg(
-        F.max("height").alias("height"),
-        F.max("width").alias("width"),
-        *[F.sum(c).alias(f"_{c}") for c in plain + extra],
-        *[F.sum(f"s{r}").alias(f"_s{r}") for r in range(reps)],
-        *[F.sum(f"w{r}").alias(f"_w{r}") for r in range(reps)],
-    ).withColumn("n_frames", F.col("_n_frames").cast("long"))
-    rows = F.col("_n_rows").cast("long")
-    mean = F.col("_s") / F.nullif(F.col("_n_frames"), F.lit(0.0))
-    return summed.select(
-        *lag_keys,
-        "height",
-        "width",
-        (mean * bessel_factor(bessel, F.col("n_frames"), rows, window)).alias("g"),
-        (replicate_sd(reps) if reps else F.lit(None).cast("double")).alias("g_sd"),
-        "n_frames",
-        map_status(bessel, F.col("n_frames"), rows, window, F.col("_n_zero")).alias("status"),
-        *[F.col(f"_{c}").alias(c) for c in extra],
+    """Correlation maps from partial sums, one row for each lag.
+
+    ``keys`` include the tile origin where there are tiles.  Status, means and
+    deviations are taken once a block, as arrays; lags become rows at the end.
+    """
+    tiled = MOMENTS[0] in partials.columns
+    series = [k for k in keys if k not in TILE] if tiled else list(keys)
+    summed = total_sums(partials, series, reps, tiled).withColumn("n_frames", F.col("n_frames").cast("long"))
+    rows = F.col("n_rows").cast("long")
+    factor = bessel_factor(bessel, F.col("n_frames"), rows, window)
+    size = (F.size("sums") / (reps + 1)).cast("int")
+    sized = summed.withColumns(
+        {
+            "_size": size,
+            "_factor": factor / F.nullif(F.col("n_frames"), F.lit(0)),
+            "_spread": small_sample_factor(F.col("n_frames")),
+            "_status": map_status(bessel, F.col("n_frames"), rows, window, F.col("n_zero")),
+        }
+    )
+    # one column of lags for the plain sum and one for each replicate
+    sums = F.arrays_zip(*[F.slice("sums", F.col("_size") * r + 1, F.col("_size")).alias(f"s{r}") for r in range(reps + 1)])
+    kept = [c for c in sized.columns if c != "sums"]
+    exploded = sized.select(*kept, F.posexplode(sums).alias("_pos", "_of")).withColumn("g", F.col("_of.s0") * F.col("_factor"))
+    deviation = F.lit(None).cast("double")
+    if reps:
+        values = [F.col(f"_of.s{r + 1}") / F.nullif(F.get("drawn", F.lit(r)), F.lit(0.0)) for r in range(reps)]
+        exploded = exploded.withColumns({f"_v{r}": v for r, v in enumerate(values)})
+        deviation = replicate_deviation([F.col(f"_v{r}") for r in range(reps)]) * F.col("_spread")
+    lag = F.col("block") * LAG_BLOCK + F.col("_pos")
+    placed = exploded.withColumns(
+        {
+            "dy": (F.floor(lag / F.col("n_dx")) + F.col("dy0")).cast("int"),
+            "dx": (lag % F.col("n_dx") + F.col("dx0")).cast("int"),
+        }
+    )
+    # per-tile moments ride on the zero lag, so sums over lags stay right
+    at_zero = (F.col("dy") == 0) & (F.col("dx") == 0)
+    moments = [F.when(at_zero, F.col(c)).otherwise(0.0).alias(c) for c in MOMENTS if tiled]
+    return placed.select(
+        *keys, "dy", "dx", "height", "width", "g", deviation.alias("g_sd"), "n_frames", F.col("_status").alias("status"), *moments
     )

@@ -2,43 +2,54 @@
 
 from pyspark.sql import functions as F
 
-from lagfield.operators.detrend import check_window, chunk_residuals, with_chunks
-from lagfield.operators.drift import chunk_aligner, reference_per_chunk
+from lagfield.operators.detrend import CHUNK_FRAMES, check_window, chunk_frames, chunk_residuals, with_chunks
+from lagfield.operators.drift import chunk_aligner, first_regions
 from lagfield.operators.geometry import crop_center
-from lagfield.operators.layout import as_frames, number_frames, sound_images
+from lagfield.operators.layout import SeriesFacts, as_frames, number_frames, series_status, sound_frames
 from lagfield.operators.reduce import REPLICATES, draw_weights, finish_sums, partial_sums
 from lagfield.schema import KEYS
 
 
-def residual_chunks(frames, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0, chunk=None):
+#: Frames whose sums meet in one task, as a multiple of the sums it gives out.
+SHRINK = 4
+
+
+def residual_chunks(frames, facts, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0, chunk=None):
     """Images with their residual, drift-corrected and with bootstrap weights.
 
-    The images are shuffled to chunks of consecutive frames.  Weights are joined on
-    the same chunks and add no shuffle of images.  Frame numbers with gaps cost a
-    shuffle more, the drift reference another.
+    ``frames`` are sound and numbered by position, ``facts`` theirs.  The images
+    are shuffled once, so that chunks of consecutive frames are together; as
+    many chunks go to one task as it takes for the sums over them to be smaller
+    than the images.  Weights and drift references are joined on the same
+    partitioning.
     """
-    base = number_frames(frames.select(*keys, "frame", "height", "width", "pixels"), keys)
-    chunked = with_chunks(base, window, chunk)
     half = window // 2
+    on = [*keys, "group"]
+    together = F.ceil(F.lit(SHRINK * (reps + 1)) / F.col("_span"))
+    group = F.floor(F.col("chunk") / together).cast("int").alias("group")
+    chunked = with_chunks(frames, window, chunk).select("*", group)
+    low = int(chunk) if chunk is not None else CHUNK_FRAMES[0]
+    numbers = F.sequence(F.lit(0), F.floor((F.col("last") + half) / low).cast("int"))
+    chunked = chunked.join(facts.mixed().select(*keys, F.explode(numbers).alias("group")), on, "left_anti")
+    spans = facts.select("last", "height", "width")
     if reps:
-        weights = with_chunks_of(draw_weights(base, keys, window, reps, seed), base, keys, half, chunk)
-        chunked = chunked.join(weights, [*keys, "chunk"], "left").withColumn(
+        weights = with_chunks(draw_weights(frames, keys, window, reps, seed, facts).join(spans, list(keys)), window, chunk)
+        # neighbours share frames, so a frame may come twice
+        by_group = weights.select(*keys, group, F.struct("frame", "weights").alias("_of")).groupBy(*on).agg(
+            F.map_from_entries(F.collect_set("_of")).alias("_by_frame")
+        )
+        chunked = chunked.join(by_group, on, "left").withColumn(
             "weights", F.element_at("_by_frame", F.col("frame"))
         ).drop("_by_frame")
     align = None
     if drift:
-        chunked = chunked.join(reference_per_chunk(base, keys, roi, half), [*keys, "chunk"], "left")
+        span = chunk_frames() if chunk is None else F.lit(int(chunk))
+        last = spans.select(*keys, F.floor((F.col("last") + half) / span).alias("chunk"), span.alias("_span")).select(*keys, group)
+        groups = last.select(*keys, F.explode(F.sequence(F.lit(0), F.col("group"))).alias("group"))
+        heads = first_regions(frames, keys, roi).select(*keys, "first_frame", F.col("head.roi").alias("reference"))
+        chunked = chunked.join(heads.join(groups, list(keys)), on, "left")
         align = chunk_aligner(roi)
-    return chunk_residuals(chunked, keys, window, align)
-
-
-def with_chunks_of(weights, frames, keys, half, chunk=None):
-    """Weights of a chunk's frames as one map per chunk."""
-    sizes = frames.groupBy(*keys).agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    chunked = with_chunks(weights.join(sizes, list(keys)), 2 * half + 1, chunk)
-    return chunked.groupBy(*keys, "chunk").agg(
-        F.map_from_entries(F.collect_list(F.struct("frame", "weights"))).alias("_by_frame")
-    )
+    return chunk_residuals(chunked, on, window, align)
 
 
 def correlation_map(
@@ -53,35 +64,31 @@ def correlation_map(
     seed=0,
     max_lag=None,
     chunk=None,
+    gapless=None,
 ):
     """Correlation map with bootstrap uncertainty of every image series.
 
     Crop, optional drift correction, detrending, autocorrelation, mean over
     frames.  ``reps=0`` leaves the uncertainty out; ``max_lag`` (slow, fast)
     computes central lags only; ``chunk`` sets the frames of a task's unit of
-    work and changes no value.  Frames go by their position in the series.  A
-    series that gives no map has status rows with NULL ``g``: an image that is
-    absent or does not fill its rectangle counts as one of missing samples, and
-    a series without any sample after the crop has one row, ``empty_image``.
+    work and changes no value.  Frames go by their position in the series;
+    ``gapless`` may say that no series has gaps in its frame numbers, which
+    saves looking.  A series that gives no map has status rows with NULL ``g``:
+    an image that is absent or does not fill its rectangle counts as one of
+    missing samples; images without a complete key or size, series of several
+    sizes and series without any sample have one row with the reason.
 
     Two shuffles carry data: the cropped images to chunks of frames, and the
-    partial sums to their lag.
+    partial sums to their block of lags.
     """
     window = check_window(window)
-    frames = crop_center(sound_images(as_frames(df, keys)), crop)
-    residuals = residual_chunks(frames, keys, window, drift, roi, reps, seed, chunk)
+    images = as_frames(df, keys)
+    listed = None if "pixels" in df.columns else df.select(*keys, "frame").distinct()
+    frames = crop_center(sound_frames(images.select(*keys, "frame", "height", "width", "pixels"), keys), crop)
+    frames = number_frames(frames, keys, gapless, listed)
+    facts = SeriesFacts(frames, keys)
+    residuals = residual_chunks(frames, facts, keys, window, drift, roi, reps, seed, chunk)
     partials = partial_sums(residuals, keys, max_lag, reps)
     maps = finish_sums(partials, keys, bessel, window, reps)
-    return maps.unionByName(_empty_series(frames, keys), allowMissingColumns=True)
-
-
-def _empty_series(frames, keys):
-    """One status row for each series whose images have no samples."""
-    sizes = frames.groupBy(*keys).agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    return sizes.where("height * width = 0").select(
-        *keys,
-        "height",
-        "width",
-        F.lit(0).cast("long").alias("n_frames"),
-        F.lit("empty_image").alias("status"),
-    )
+    odd = series_status(images, keys, facts).withColumn("n_frames", F.lit(0).cast("long"))
+    return maps.unionByName(odd, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from lagfield.operators.detrend import check_window
 from lagfield.operators.fit import fit_maps
 from lagfield.operators.geometry import blank_zero_lag, crop_center, fast_axis, median_filter3, with_distance
 from lagfield.operators.lags import attach_acq, fit_maps_eval, with_acq, with_lag_geometry
-from lagfield.operators.layout import as_frames, stack_shape
+from lagfield.operators.layout import SeriesFacts, as_frames, named, number_frames, series_status, sound_frames, stack_shape
 from lagfield.operators.reduce import finish_sums, partial_sums
 from lagfield.operators.tiles import check_tiles, paint_tiles
 from lagfield.plans.correlation_job import residual_chunks
@@ -16,16 +16,22 @@ from lagfield.schema import KEYS, TILE
 MAP_COLUMNS = ("d", "amp", "brightness")
 
 
-def tile_maps(df, size=32, step=16, keys=KEYS, crop=1.0, window=3):
+def tile_maps(df, size=32, step=16, keys=KEYS, crop=1.0, window=3, gapless=None):
     """Correlation map of every tile, with the tile's sample counts and moments.
 
     The sliding mean of a sample does not depend on the tile, so it is taken on
     whole images; tiles are cut afterwards, in the task that correlates them.
+    Damaged images count as missing samples; series without a complete key,
+    without a size or of several sizes have no tiles (see
+    :func:`lagfield.operators.layout.series_status`).
     """
     size, step = check_tiles(size, step)
     window = check_window(window)
-    frames = crop_center(as_frames(df, keys), crop)
-    residuals = residual_chunks(frames, keys, window)
+    images = as_frames(df, keys)
+    listed = None if "pixels" in df.columns else df.select(*keys, "frame").distinct()
+    frames = crop_center(sound_frames(images.select(*keys, "frame", "height", "width", "pixels"), keys), crop)
+    frames = number_frames(frames, keys, gapless, listed)
+    residuals = residual_chunks(frames, SeriesFacts(frames, keys), keys, window)
     partials = partial_sums(residuals, keys, tile=(size, step))
     return finish_sums(partials, [*keys, *TILE], "original", window)
 
@@ -71,26 +77,34 @@ def local_diffusion_map(
     shape=None,
     smooth=True,
     defaults=None,
+    gapless=None,
     **psf,
 ):
     """Pixel maps ``d``, ``amp`` and ``brightness`` of every image series.
 
     Tiles are correlated and fitted, painted back (later tiles win) and passed
-    through a 3 x 3 median.  ``amp`` is the fitted amplitude.
+    through a 3 x 3 median.  ``amp`` is the fitted amplitude.  ``status`` is
+    ``ok`` for pixels; a series that has none because of its keys or sizes has
+    one row that names the reason.
     """
-    frames = crop_center(as_frames(df, keys), crop)
-    maps = with_geometry(tile_maps(frames, size, step, keys, 1.0, window), acq, defaults)
+    images = as_frames(df, keys)
+    frames = crop_center(images, crop)
+    maps = with_geometry(tile_maps(frames, size, step, keys, 1.0, window, gapless), acq, defaults)
     fits = tile_fits(maps, model, keys, min_valid, **psf)
-    shape = shape or stack_shape(frames, keys)
+    odd = series_status(images, keys).drop("height", "width")
+    known = frames.where(named(keys))
+    shape = shape or stack_shape(known, keys)
     painted = paint_tiles(fits, shape, MAP_COLUMNS, size, step, keys)
     whole = median_filter3(painted, MAP_COLUMNS, keys) if smooth else painted
     # an image smaller than a tile has a map too, without values
-    sizes = stack_shape(frames, keys) if isinstance(shape, tuple) else shape
+    sizes = stack_shape(known, keys) if isinstance(shape, tuple) else shape
     small = sizes.where(F.least("height", "width") < size).where("height > 0 AND width > 0")
     pixels = small.select(*keys, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select(
         *keys, "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")
     )
-    return whole.unionByName(pixels, allowMissingColumns=True)
+    ok = F.lit("ok").alias("status")
+    small_maps = pixels.join(odd, list(keys), "left_anti").select("*", ok)
+    return whole.select("*", ok).unionByName(small_maps, allowMissingColumns=True).unionByName(odd, allowMissingColumns=True)
 
 
 def local_fast_axis(maps, fits, model="2D", keys=KEYS, **psf):

@@ -317,7 +317,7 @@ def tile_fit(spark, d):
 
 def local_map(spark, d):
     painted = local_diffusion_map(fx.cube_frames(spark, d), **TILES, shape=SHAPE)
-    return rounded(painted.withColumn("d", F.log10("d")), 4)
+    return rounded(painted.withColumn("d", F.log10("d")).drop("status"), 4)
 
 
 def local_curves(spark, d):
