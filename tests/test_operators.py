@@ -252,7 +252,7 @@ def test_fit_shuffles_map_rows_once(spark):
     fits = fit.fit_maps(maps)
     fits.collect()
     plan = fits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("- Exchange") == 1 and plan.count("ReusedExchange") == 4
+    assert plan.count("- Exchange") == 1 and "ReusedExchange" not in plan
 
 
 @pytest.mark.parametrize("size,step", [(4, 2), (3, 2), (2, 3), (5, 5)])
