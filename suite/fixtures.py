@@ -13,6 +13,7 @@ from lagfield.operators.lags import with_acq, with_lag_geometry
 from lagfield.operators.layout import to_pixels
 
 SIDE = 16
+WIDE = 128
 MONTHS = 12
 DAYS = 30
 HOURS = 24
@@ -94,7 +95,53 @@ def holes(spark, sf_dir):
     return cube(spark, sf_dir).withColumn("intensity", F.when(~hole, F.col("intensity")))
 
 
-def part_maps(spark, sf_dir, model="2D", half=8):
+def some_holes(spark, sf_dir):
+    """The cube with the samples of :func:`holes` missing in one month only, so that some windows are whole."""
+    phase = (F.col("y") + F.col("x")) % 3
+    hole = (F.col("frame") == 8) & (F.col("y") < 8) & (phase == 2)
+    return cube(spark, sf_dir).withColumn("intensity", F.when(~hole, F.col("intensity")))
+
+
+def wide_frames(spark, sf_dir):
+    """Quantity shipped by month, supplier (y) and part (x) on images of 128 x 128 samples."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("stack_id"),
+        F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("channel"),
+        (F.month("l_shipdate") - 1).alias("frame"),
+        (F.col("l_suppkey") % WIDE).cast("int").alias("y"),
+        (F.col("l_partkey") % WIDE).cast("int").alias("x"),
+        "l_quantity",
+    )
+    return dense_frames(rows, "l_quantity", MONTHS, WIDE, WIDE)
+
+
+def faulty(frames):
+    """Faults planted in series of images: damaged and absent arrays, images of another size, images without a key.
+
+    Series that begin with A: image 5 is cut short and image 9 absent; with R: image 0 is smaller than the others;
+    with N: some images once more without their channel.
+    """
+    first = F.substring("stack_id", 1, 1)
+    frame = F.col("frame")
+    small = (first == "R") & (frame == 0)
+    pixels = (
+        F.when((first == "A") & (frame == 5), F.slice("pixels", 1, 100))
+        .when((first == "A") & (frame == 9), F.lit(None))
+        .when(small, F.slice("pixels", 1, 64))
+        .otherwise(F.col("pixels"))
+    )
+    planted = frames.withColumns(
+        {
+            "pixels": pixels,
+            "height": F.when(small, 8).otherwise(F.col("height")),
+            "width": F.when(small, 8).otherwise(F.col("width")),
+        }
+    )
+    nameless = frames.where((first == "N") & (frame < 3)).withColumn("channel", F.lit(None).cast("int"))
+    return planted.unionByName(nameless)
+
+
+def part_maps(spark, sf_dir, model="2D", half=16):
     """One correlation map per part, with known parameters and small errors."""
     span = F.sequence(F.lit(-half), F.lit(half - 1))
     parts = table(spark, sf_dir, "part").select(
@@ -231,6 +278,37 @@ holes AS (
 )"""
 )
 
+SOME_HOLES = (
+    CUBE
+    + """,
+holes AS (
+  SELECT stack_id, channel, frame, y, x,
+         CASE WHEN frame = 8 AND y < 8 AND (y + x) % 3 = 2 THEN NULL ELSE intensity END AS intensity
+  FROM cube
+)"""
+)
+
+WIDE_CUBE = f"""
+wd_cells AS (
+  SELECT l_returnflag AS stack_id, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END::BIGINT AS channel,
+         (month(l_shipdate) - 1)::BIGINT AS frame, l_suppkey % {WIDE} AS y, l_partkey % {WIDE} AS x, sum(l_quantity) AS value
+  FROM lineitem GROUP BY ALL
+),{_dense("wd", MONTHS, WIDE, WIDE)}"""
+
+
+def faulty_sql(source, name="faulty"):
+    """Sound series of ``source`` with the damaged images as missing samples, and the status rows of the others."""
+    return f"""{name} AS (
+  SELECT stack_id, channel, frame, y, x, CASE WHEN stack_id LIKE 'A%' AND frame IN (5, 9) THEN NULL ELSE intensity END AS intensity
+  FROM {source} WHERE stack_id NOT LIKE 'R%'
+),
+{name}_status AS (
+  SELECT DISTINCT stack_id, channel, 'mixed_sizes' AS status FROM {source} WHERE stack_id LIKE 'R%'
+  UNION ALL
+  SELECT DISTINCT stack_id, NULL::BIGINT, 'null_key' FROM {source} WHERE stack_id LIKE 'N%'
+)"""
+
+
 ROLLED = (
     CUBE
     + f""",
@@ -254,7 +332,7 @@ def shape_sql(model, d, s="s_lag", t="t_lag"):
     return value
 
 
-def part_maps_sql(model="2D", half=8):
+def part_maps_sql(model="2D", half=16):
     return f"""
 parts AS (
   SELECT p_partkey::VARCHAR || '_scan_RICScorr' AS stack_id, (p_partkey % 2)::BIGINT AS channel, p_partkey AS part,

@@ -104,6 +104,17 @@ def bootstrap_sql(source="fc", name="bs", keys=KEYS, reps=10, seed=7):
 )"""
 
 
+def bootstrap_gaps_sql(source="fc", name="bs", reps=10, seed=7):
+    """:func:`bootstrap_sql` where some frames have no correlation: replicates divide by the draws that have one."""
+    plain = bootstrap_sql(source, name, KEYS, reps, seed)
+    found = f"(SELECT {KEYS}, dy, dx, count(g) AS have FROM {source} GROUP BY {KEYS}, dy, dx)"
+    return (
+        plain.replace("sum(k * g) / sum(k) AS g", "sum(k * g) / sum(k) FILTER (WHERE g IS NOT NULL) AS g")
+        .replace("any_value(n) / (any_value(n) - 1)::DOUBLE AS g_sd, any_value(n)", "any_value(have) / (any_value(have) - 1)::DOUBLE AS g_sd, any_value(have)")
+        .replace(f"JOIN {name}_n USING ({KEYS}) GROUP", f"JOIN {found} h USING ({KEYS}, dy, dx) GROUP")
+    )
+
+
 #: Embedding images with the position of each in its series as its number.
 PLACED = f"""placed AS (
   SELECT {KEYS}, dense_rank() OVER (PARTITION BY {KEYS} ORDER BY frame) - 1 AS frame, y, x, intensity FROM vec
@@ -240,20 +251,20 @@ def median3_sql(source, columns, name="md", side=fx.SIDE):
 )"""
 
 
-def tile_chain(size=8, step=4):
+def tile_chain(size=8, step=4, source=None, image="cube", model="2D", side=fx.SIDE, geo=None):
     """Tiles to fitted tiles: the local map before painting."""
     keys = f"{KEYS}, {TILE}"
     return ",\n".join(
         [
-            fx.CUBE.strip(),
-            tiles_sql("cube", size, step),
+            (source or fx.CUBE).strip(),
+            tiles_sql(image, size, step, side=side),
             detrend_sql("tl", 3, "dt", keys),
             autocorr_sql("dt", "fc", keys),
             mean_map_sql("fc", "mm", keys, "original"),
-            f"geo AS (SELECT *, {fx.SPACE}::DOUBLE AS s_lag, {fx.TIME}::DOUBLE AS t_lag FROM mm)",
-            fit_sql("geo", "2D", keys),
-            f"br AS (SELECT {keys}, stddev_pop(intensity) AS brightness FROM tl GROUP BY {keys})",
-            f"""tf AS (SELECT {keys}, log10(diff_coeff) AS log_d, diff_coeff, amplitude AS amp, offset_, cost, status, brightness
+            geo or f"geo AS (SELECT *, {fx.SPACE}::DOUBLE AS s_lag, {fx.TIME}::DOUBLE AS t_lag FROM mm)",
+            fit_sql("geo", model, keys),
+            f"br AS (SELECT {keys}, CASE WHEN count(*) = count(intensity) THEN stddev_pop(intensity) END AS brightness FROM tl GROUP BY {keys})",
+            f"""tf AS (SELECT {keys}, log10(diff_coeff) AS log_d, diff_coeff, amplitude AS amp, offset_, cost, particle_number, status, brightness
   FROM ft JOIN br USING ({keys}))""",
         ]
     )
@@ -347,6 +358,8 @@ def _model(model):
 RESIDUALS = with_(fx.part_maps_sql(), f"ev2 AS (SELECT *, true_a * {fx.shape_sql('2D', 'true_d')} + 0.002::DOUBLE AS model_g FROM maps)",
     "res AS (SELECT *, CASE WHEN dy = 0 AND dx = 0 THEN 0.0 ELSE model_g - g END AS residual FROM ev2)")
 
+MAP_COLUMNS = f"{LAG}, {r('mm.g', 'g')}, {r('bs.g_sd', 'g_sd')}, mm.n_frames::BIGINT AS n_frames, status"
+WITH_SD = f"SELECT {MAP_COLUMNS} FROM mm LEFT JOIN bs USING ({KEYS}, dy, dx)"
 MEAN_COLUMNS = f"{LAG}, {r('g', 'g')}, n_frames::BIGINT AS n_frames, status"
 
 
@@ -360,7 +373,7 @@ def _fit_job():
          coalesce(a.pixel_size_nm, 20.0) * 1e-3::DOUBLE AS px, coalesce(a.pixel_dwell_us, 50.0) * 1e-6::DOUBLE AS dwell,
          coalesce(a.line_time_ms, 12.8) * 1e-3::DOUBLE AS line
   FROM maps m LEFT JOIN acql a ON a.stack_id = split_part(m.stack_id, '_', 1) AND a.channel = m.channel
-  WHERE m.dy >= -4 AND m.dy < 4 AND m.dx >= -6 AND m.dx < 6
+  WHERE m.dy >= -8 AND m.dy < 8 AND m.dx >= -12 AND m.dx < 12
 ),
 geo AS (SELECT *, px * px * (dx * dx + dy * dy) AS s_lag, abs(dwell * dx + line * dy) AS t_lag FROM joined)""",
         fit_sql("geo"),
@@ -386,10 +399,11 @@ ORACLE = {
     "detrend_w5": _pixels(fx.CUBE, detrend_sql("cube", 5), source="dt", digits=9),
     "detrend_frames": _pixels(fx.CUBE, detrend_sql("cube", 3), source="dt", digits=9),
     "detrend_holes": _pixels(fx.HOLES, detrend_sql("holes", 3), source="dt", digits=9),
-    "frame_autocorr": with_(fx.CUBE, autocorr_sql("cube", max_lag=(3, 3))) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
+    "frame_autocorr": with_(fx.CUBE, autocorr_sql("cube")) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
+    "frame_autocorr_few": with_(fx.CUBE, autocorr_sql("cube", max_lag=(3, 2))) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
     "frame_autocorr_fft": with_(fx.CUBE, autocorr_sql("cube")) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
     "frame_autocorr_vec": with_(fx.VEC, autocorr_sql("vec")) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
-    "frame_autocorr_events": with_(fx.EVENTS, autocorr_sql("ev", max_lag=(2, 3))) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
+    "frame_autocorr_events": with_(fx.EVENTS, autocorr_sql("ev")) + f"SELECT {FLAG}, {r('g', 'g')} FROM fc",
     "mean_corr_map": with_(CUBE_CORR, mean_map_sql()) + f"SELECT {MEAN_COLUMNS} FROM mm",
     "mean_corr_map_original": with_(CUBE_CORR, mean_map_sql(bessel="original")) + f"SELECT {MEAN_COLUMNS} FROM mm",
     "bootstrap_sd": with_(CUBE_CORR, bootstrap_sql())
@@ -412,21 +426,49 @@ ORACLE = {
     "bootstrap_vec": with_(fx.VEC, PLACED, autocorr_sql("placed"), bootstrap_sql())
     + f"SELECT {LAG}, {r('g_sd', 'g_sd')}, n_frames::BIGINT AS n_frames FROM bs",
     "correlation_map_cropped": with_(
-        fx.CUBE, crop_sql("cube", 0.5), detrend_sql("cropped", 5), autocorr_sql("dt", max_lag=(2, 2)), mean_map_sql(bessel="original", window=5, none_left="zero_mean")
+        fx.CUBE, crop_sql("cube", 0.5), detrend_sql("cropped", 5), autocorr_sql("dt"), mean_map_sql(bessel="original", window=5, none_left="zero_mean"), bootstrap_gaps_sql()
     )
-    + f"SELECT {MEAN_COLUMNS} FROM mm",
+    + WITH_SD,
     "correlation_map_drift": with_(
         fx.ROLLED,
         drift_sql("rolled"),
         roll_sql("rolled", "dr", "fixed_", fx.SIDE, fx.SIDE),
         detrend_sql("fixed_", 3),
-        autocorr_sql("dt", max_lag=(3, 3)),
+        autocorr_sql("dt"),
+        mean_map_sql(),
+        bootstrap_sql(),
+    )
+    + WITH_SD,
+    "correlation_map_holes": with_(fx.SOME_HOLES, detrend_sql("holes", 3), autocorr_sql("dt"), mean_map_sql(), bootstrap_gaps_sql()) + WITH_SD,
+    "correlation_map_none": with_(fx.HOLES)
+    + f"SELECT DISTINCT {KEYS}, a.range::BIGINT AS dy, b.range::BIGINT AS dx, NULL::DOUBLE AS g, NULL::DOUBLE AS g_sd, 0::BIGINT AS n_frames, 'missing_pixels' AS status "
+    f"FROM holes CROSS JOIN range(-{fx.SIDE // 2}, {fx.SIDE // 2}) a CROSS JOIN range(-{fx.SIDE // 2}, {fx.SIDE // 2}) b",
+    "correlation_map_wide": with_(
+        fx.WIDE_CUBE,
+        detrend_sql("wd", 3),
+        f"sizes AS (SELECT {KEYS}, frame, avg(intensity) AS m FROM dt GROUP BY {KEYS}, frame)",
+        f"""moved AS MATERIALIZED (
+  SELECT {KEYS}, frame, a.range AS dy, b.range AS dx, (y - a.range + {fx.WIDE}) % {fx.WIDE} AS y, (x - b.range + {fx.WIDE}) % {fx.WIDE} AS x, intensity AS other
+  FROM dt CROSS JOIN range(-2, 3) a CROSS JOIN range(-2, 3) b
+),
+still AS MATERIALIZED (SELECT * FROM dt)""",
+        f"""fc AS (
+  SELECT {KEYS}, frame, dy, dx, total / ({fx.WIDE * fx.WIDE} * m * m) - 1.0 AS g
+  FROM (SELECT {KEYS}, frame, dy, dx, sum(intensity * other) AS total FROM moved JOIN still USING ({KEYS}, frame, y, x) GROUP BY ALL)
+  JOIN sizes USING ({KEYS}, frame)
+)""",
         mean_map_sql(),
+        bootstrap_sql(),
     )
-    + f"SELECT {MEAN_COLUMNS} FROM mm",
-    "correlation_map_holes": with_(fx.HOLES)
-    + f"SELECT DISTINCT {KEYS}, a.range::BIGINT AS dy, b.range::BIGINT AS dx, NULL::DOUBLE AS g, 0::BIGINT AS n_frames, 'missing_pixels' AS status "
-    "FROM holes CROSS JOIN range(-1, 2) a CROSS JOIN range(-1, 2) b",
+    + WITH_SD,
+    "correlation_map_faults": with_(fx.CUBE, fx.faulty_sql("cube"), detrend_sql("faulty", 3), autocorr_sql("dt"), mean_map_sql(), bootstrap_gaps_sql())
+    + WITH_SD
+    + f" UNION ALL SELECT {KEYS}, NULL, NULL, NULL, NULL, 0, status FROM faulty_status",
+    "series_status": with_(fx.CUBE, fx.faulty_sql("cube")) + f"SELECT {KEYS}, status FROM faulty_status",
+    "drift_faults": with_(fx.ROLLED, drift_sql("rolled"))
+    + f"SELECT {KEYS}, frame::BIGINT AS frame, CASE WHEN bad THEN NULL ELSE dy END::BIGINT AS dy, CASE WHEN bad THEN NULL ELSE dx END::BIGINT AS dx"
+    " FROM (SELECT *, stack_id LIKE 'A%' AND frame = 5 OR stack_id LIKE 'R%' AND frame > 0 AS bad FROM dr)"
+    " UNION ALL SELECT stack_id, NULL, frame::BIGINT, NULL, NULL FROM dr WHERE stack_id LIKE 'N%' AND frame < 3",
     "acq_extract": with_(fx.META, ACQ)
     + f"SELECT stack_id, channel, {r('pixel_size_nm', 'pixel_size_nm')}, {r('pixel_dwell_us', 'pixel_dwell_us')}, {r('line_time_ms', 'line_time_ms')} FROM acql",
     "acq_attach": with_(
@@ -456,8 +498,18 @@ ORACLE = {
         "lifted AS (SELECT * REPLACE (true_a * 0.4::DOUBLE - g * CASE WHEN channel = 0 THEN 0.3 ELSE -3.0 END::DOUBLE AS g) FROM maps)",
         fit_sql("lifted", "2D"),
     )
-    + f"SELECT {KEYS}, {r('amplitude', 'amplitude', 4)}, {r('offset_', 'offset', 4)}, {r('cost', 'cost', 4)}, n_lags::BIGINT AS n_lags, status FROM ft",
+    + f"SELECT {KEYS}, {r('CASE WHEN amplitude > 1e-6 THEN log10(diff_coeff) END', 'log_d', 4)}, {r('amplitude', 'amplitude', 4)}, {r('offset_', 'offset', 4)}, {r('cost', 'cost', 4)}, n_lags::BIGINT AS n_lags, status FROM ft",
     "fit_job": _fit_job(),
+    "fit_job_models": with_(
+        fx.part_maps_sql("2D"),
+        fit_sql("maps", "2D", name="f2"),
+        fit_sql("maps", "1D", name="f1"),
+        "both_ AS (SELECT * REPLACE (log10(diff_coeff) AS diff_coeff) FROM (SELECT * FROM f2 UNION ALL SELECT * FROM f1))",
+    )
+    + fit_select(4, "both_"),
+    "fit_residual": with_(fx.part_maps_sql("2D"), fit_sql("maps", "2D"))
+    + f"SELECT {LAG}, {r('g', 'g', 4)}, {r('fit', 'model_g', 4)}, {r('CASE WHEN dy = 0 AND dx = 0 THEN 0 ELSE fit - g END', 'residual', 4)}"
+    f" FROM (SELECT {KEYS}, dy, dx, g, amplitude * {fx.shape_sql('2D', 'diff_coeff')} + offset_ AS fit FROM maps JOIN ft USING ({KEYS}))",
     "tile_assign": with_(fx.CUBE, tiles_sql("cube", 8, 4))
     + f"SELECT {KEYS}, {TILE}, count(*)::BIGINT AS n_pixels, {r('sum(intensity * (y * 31 + x * 7 + frame + 1))', 'checksum')} FROM tl GROUP BY {KEYS}, {TILE}",
     "tile_valid": with_(fx.HOLES, tiles_sql("holes", 8, 4))
@@ -475,6 +527,31 @@ ORACLE = {
         tile_chain(), paint_sql("tf", ["diff_coeff", "amp", "brightness"], 8, 4), median3_sql("pt", ["diff_coeff", "amp", "brightness"])
     )
     + f"SELECT {KEYS}, y::BIGINT AS y, x::BIGINT AS x, {r('log10(diff_coeff)', 'd', 4)}, {r('amp', 'amp', 4)}, {r('brightness', 'brightness', 4)} FROM md",
+    "local_map_acq": with_(
+        fx.META,
+        ACQ,
+        tile_chain(
+            source=",\n".join([fx.CUBE.strip(), "named AS (SELECT * REPLACE (split_part(stack_id, '_', 2) || '_' || split_part(stack_id, '_', 1) AS stack_id, intensity + 50.0 AS intensity) FROM cube)", crop_sql("named", 0.75)]),
+            image="cropped",
+            model="3D",
+            side=12,
+            geo=f"""geo AS (
+  SELECT * EXCLUDE (px, dwell, line), px * px * (dx * dx + dy * dy) AS s_lag, abs(dwell * dx + line * dy) AS t_lag FROM (
+    SELECT m.*, coalesce(a.pixel_size_nm, 20.0) * 1e-3::DOUBLE AS px, coalesce(a.pixel_dwell_us, 50.0) * 1e-6::DOUBLE AS dwell,
+           coalesce(a.line_time_ms, 12.8) * 1e-3::DOUBLE AS line
+    FROM mm m LEFT JOIN acql a ON a.stack_id = split_part(m.stack_id, '_', 1) AND a.channel = m.channel))""",
+        ),
+        paint_sql("tf", ["diff_coeff", "amp", "brightness", "particle_number"], 8, 4, side=12),
+        median3_sql("pt", ["diff_coeff", "amp", "brightness", "particle_number"], side=12),
+    )
+    + f"SELECT {KEYS}, y::BIGINT AS y, x::BIGINT AS x, {r('log10(diff_coeff)', 'd', 4)}, {r('amp', 'amp', 4)}, {r('brightness', 'brightness', 4)}, {r('log10(particle_number)', 'particle_number', 4)} FROM md",
+    "local_map_faults": with_(
+        tile_chain(source=",\n".join([fx.CUBE.strip(), fx.faulty_sql("cube")]), image="faulty"),
+        paint_sql("tf", ["diff_coeff", "amp", "brightness"], 8, 4),
+        median3_sql("pt", ["diff_coeff", "amp", "brightness"]),
+    )
+    + f"SELECT {KEYS}, y::BIGINT AS y, x::BIGINT AS x, {r('log10(diff_coeff)', 'd', 4)}, {r('amp', 'amp', 4)}, {r('brightness', 'brightness', 4)}, 'ok' AS status FROM md"
+    f" UNION ALL SELECT {KEYS}, NULL, NULL, NULL, NULL, NULL, status FROM faulty_status",
     "local_fast_axis": with_(tile_chain())
     + f"SELECT {KEYS}, {TILE}, dx::BIGINT AS dx, {r('dx * 0.02::DOUBLE', 'distance_um', 4)}, {r('CASE WHEN dx = 0 THEN 0 ELSE g END', 'g', 4)}, "
     f"{r('amp * ' + fx.shape_sql('2D', 'diff_coeff') + ' + offset_', 'model_g', 4)} FROM geo JOIN tf USING ({KEYS}, {TILE}) WHERE dy = 0 AND tf.status = 'ok'",
@@ -486,8 +563,10 @@ ORACLE = {
     ),
     "scan_stack": with_(fx.CUBE)
     + f"SELECT {PIX}, {r('intensity', 'intensity')} FROM cube WHERE channel = 1 AND frame BETWEEN 2 AND 4",
-    "write_read_maps": with_(CUBE_CORR, mean_map_sql()) + f"SELECT {MEAN_COLUMNS} FROM mm WHERE channel = 0",
-    "append_fits": with_(fx.part_maps_sql("2D", half=4), fit_sql("maps", "2D", name="f2"), fit_sql("maps", "3D", name="f3"))
+    "list_inputs": "SELECT c_mktsegment AS segment, c_nationkey::BIGINT AS nation, '.txt' AS extension, length(count(*)::VARCHAR)::BIGINT + 1 AS n_bytes"
+    " FROM customer GROUP BY ALL",
+    "write_read_maps": with_(CUBE_CORR, mean_map_sql(), bootstrap_sql()) + WITH_SD + " WHERE channel = 0",
+    "append_fits": with_(fx.part_maps_sql("2D"), fit_sql("maps", "2D", name="f2"), fit_sql("maps", "3D", name="f3"))
     + " UNION ALL ".join(
         f"SELECT stack_id AS filepath, {r('particle_number', '\"Particle Number\"')}, {r('diff_coeff', '\"Diffusion Coefficient\"')},"
         f" {r('residual_mean', 'residual')}, model FROM {name}"

@@ -24,6 +24,7 @@ from lagfield.sources import listing, metadata, results, stacks
 from suite import fixtures as fx
 
 SHAPE = (fx.SIDE, fx.SIDE)
+MAP_SHAPE = (2 * fx.SIDE, 2 * fx.SIDE)
 TILES = {"size": 8, "step": 4}
 
 
@@ -110,7 +111,13 @@ def detrend_holes(spark, d):
 
 
 def frame_autocorr(spark, d):
-    return rounded(correlate.autocorr(fx.cube_frames(spark, d), max_lag=(3, 3), method="lags"))
+    return rounded(correlate.autocorr(fx.cube_frames(spark, d), method="lags"))
+
+
+def frame_autocorr_few(spark, d):
+    """Central lags only, which both ways of correlating can restrict themselves to."""
+    frames = fx.cube_frames(spark, d)
+    return rounded(correlate.autocorr(frames, max_lag=(3, 2), method="lags"))
 
 
 def frame_autocorr_fft(spark, d):
@@ -122,7 +129,7 @@ def frame_autocorr_vec(spark, d):
 
 
 def frame_autocorr_events(spark, d):
-    return rounded(correlate.autocorr(fx.events_frames(spark, d), max_lag=(2, 3)))
+    return rounded(correlate.autocorr(fx.events_frames(spark, d)))
 
 
 def _cube_corr(spark, d):
@@ -162,7 +169,7 @@ def fast_axis_cut(spark, d):
 
 
 def correlation_map_job(spark, d):
-    return rounded(correlation_map(fx.cube_frames(spark, d), seed=7).drop("height", "width"))
+    return rounded(correlation_map(fx.cube_frames(spark, d), seed=7, gapless=True).drop("height", "width"))
 
 
 def correlation_map_vec(spark, d):
@@ -174,19 +181,45 @@ def bootstrap_vec(spark, d):
     return rounded(reduce.bootstrap_sd(correlate.autocorr(fx.vec_frames(spark, d)), seed=7))
 
 
+MAP = (*KEYS, "dy", "dx", "g", "g_sd", "n_frames", "status")
+
+
 def correlation_map_cropped(spark, d):
-    maps = correlation_map(fx.cube_frames(spark, d), crop=0.5, window=5, bessel="original", reps=0, max_lag=(2, 2))
-    return rounded(maps.select(*KEYS, "dy", "dx", "g", "n_frames", "status"))
+    maps = correlation_map(fx.cube_frames(spark, d), crop=0.5, window=5, bessel="original", seed=7, gapless=True)
+    return rounded(maps.select(*MAP))
 
 
 def correlation_map_drift(spark, d):
-    maps = correlation_map(fx.rolled_frames(spark, d), drift=True, reps=0, max_lag=(3, 3))
-    return rounded(maps.select(*KEYS, "dy", "dx", "g", "n_frames", "status"))
+    return rounded(correlation_map(fx.rolled_frames(spark, d), drift=True, seed=7, gapless=True).select(*MAP))
 
 
 def correlation_map_holes(spark, d):
-    maps = correlation_map(fx.holes(spark, d), reps=0, max_lag=(1, 1))
-    return rounded(maps.select(*KEYS, "dy", "dx", "g", "n_frames", "status"))
+    """Series with missing samples in one month; the windows that hold it leave the average."""
+    return rounded(correlation_map(fx.some_holes(spark, d), seed=7).select(*MAP))
+
+
+def correlation_map_none(spark, d):
+    """Series with a missing sample in every image have no map but a status."""
+    return rounded(correlation_map(fx.holes(spark, d), seed=7).select(*MAP))
+
+
+def correlation_map_wide(spark, d):
+    """Images of 128 x 128 samples in chunks of four frames; central lags only."""
+    maps = correlation_map(fx.wide_frames(spark, d), seed=7, max_lag=(2, 2), chunk=4, gapless=True)
+    return rounded(maps.select(*MAP))
+
+
+def correlation_map_faults(spark, d):
+    """Damaged images leave the average; series with faulty keys or sizes have a status row."""
+    return rounded(correlation_map(fx.faulty(fx.cube_frames(spark, d)), seed=7).select(*MAP))
+
+
+def series_status_query(spark, d):
+    return rounded(layout.series_status(fx.faulty(fx.cube_frames(spark, d))).select(*KEYS, "status"))
+
+
+def drift_faults(spark, d):
+    return rounded(drift.estimate_drift(fx.faulty(fx.rolled_frames(spark, d))))
 
 
 def acq_extract(spark, d):
@@ -233,7 +266,7 @@ def fit_cost(spark, d):
 
 
 def particle_number(spark, d):
-    maps = fx.part_maps(spark, d, half=2)
+    maps = fx.part_maps(spark, d)
     number = [physics.particle_number(m, F.col("amplitude")).alias(f"n_{m.lower()}") for m in ("2D", "3D")]
     return rounded(_truth(maps).select(*KEYS, *number))
 
@@ -258,17 +291,32 @@ def fit_edges(spark, d):
     """Negated and lifted maps, whose best parameters lie on their bounds."""
     maps = fx.part_maps(spark, d)
     lifted = maps.withColumn("g", F.col("true_a") * 0.4 - F.col("g") * F.when(F.col("channel") == 0, 0.3).otherwise(-3.0))
-    fits = fit.fit_maps(lifted, "2D").select(*KEYS, "amplitude", "offset", "cost", "n_lags", "status")
-    return rounded(fits, 4)
+    fits = fit.fit_maps(lifted, "2D")
+    # without amplitude all D fit equally well
+    log_d = F.when(F.col("amplitude") > 1e-6, F.log10("diff_coeff")).alias("log_d")
+    return rounded(fits.select(*KEYS, log_d, "amplitude", "offset", "cost", "n_lags", "status"), 4)
 
 
 def fit_job_query(spark, d):
     acq = metadata.extract_acq(fx.meta_json(spark, d), channel=1)
     maps = fx.part_maps(spark, d).select(*KEYS, "dy", "dx", "g", "n_frames")
-    fits = fit_job(maps, acq, "2D", 0.75, 0.5, shape=SHAPE)
+    fits = fit_job(maps, acq, "2D", 0.75, 0.5, shape=MAP_SHAPE)
     return rounded(fits.withColumn("diff_coeff", F.log10("diff_coeff")), 4)
 
 
+def fit_job_models(spark, d):
+    """The two-dimensional and the fast-axis fit of every map in one pass."""
+    maps = fx.part_maps(spark, d).select(*KEYS, "dy", "dx", "g", "n_frames")
+    fits = fit_job(maps, None, ["2D", "1D"], 1.0, 1.0, shape=MAP_SHAPE)
+    return rounded(fits.withColumn("diff_coeff", F.log10("diff_coeff")), 4)
+
+
+def fit_residual(spark, d):
+    """Model and residual maps of the fitted parameters."""
+    maps = fx.part_maps(spark, d)
+    return rounded(lags.fit_maps_eval(maps, fit.fit_maps(maps, "2D"), "2D"), 4)
+
+
 def tile_assign(spark, d):
     tiled = tiles.assign_tiles(fx.cube(spark, d), SHAPE, **TILES)
     sums = tiled.groupBy(*KEYS, *TILE).agg(
@@ -316,10 +364,30 @@ def tile_fit(spark, d):
 
 
 def local_map(spark, d):
-    painted = local_diffusion_map(fx.cube_frames(spark, d), **TILES, shape=SHAPE)
+    painted = local_diffusion_map(fx.cube_frames(spark, d), **TILES, shape=SHAPE, gapless=True)
     return rounded(painted.withColumn("d", F.log10("d")).drop("status"), 4)
 
 
+def local_map_acq(spark, d):
+    """Three-dimensional model on the central part of the images, acquisitions from metadata, particle numbers painted."""
+    acq = metadata.extract_acq(fx.meta_json(spark, d), channel=1)
+    # adding 50 keeps the means of small tiles away from 0
+    named = fx.cube_frames(spark, d).withColumns(
+        {
+            "stack_id": F.concat_ws("_", F.split("stack_id", "_")[1], F.split("stack_id", "_")[0]),
+            "pixels": F.transform("pixels", lambda v: v + 50.0),
+        }
+    )
+    columns = ("d", "amp", "brightness", "particle_number")
+    painted = local_diffusion_map(named, acq, **TILES, model="3D", crop=0.75, columns=columns, gapless=True)
+    return rounded(painted.withColumns({"d": F.log10("d"), "particle_number": F.log10("particle_number")}).drop("status"), 4)
+
+
+def local_map_faults(spark, d):
+    painted = local_diffusion_map(fx.faulty(fx.cube_frames(spark, d)), **TILES)
+    return rounded(painted.withColumn("d", F.log10("d")), 4)
+
+
 def local_curves(spark, d):
     maps = with_geometry(tile_maps(fx.cube_frames(spark, d), **TILES, keys=KEYS))
     return rounded(local_fast_axis(maps, tile_fits(maps)), 4)
@@ -350,8 +418,21 @@ def drift_correct(spark, d):
 
 
 def list_inputs(spark, d):
-    files = listing.list_inputs(spark, d, ".PARQUET", "S")
-    return files.select("stem", "extension", F.col("n_bytes").cast("bigint").alias("n_bytes"))
+    """Files written from a table, one folder for each kind of customer and one file for each nation in it."""
+    path = scratch_folder(spark, "inputs")
+    customers = fx.table(spark, d, "customer")
+    lines = customers.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    # the file source names files itself, so each nation is a folder whose one file is listed under the folder's name
+    lines.select("c_mktsegment", "c_nationkey", F.col("n").cast("string").alias("line")).repartition(
+        "c_mktsegment", "c_nationkey"
+    ).write.partitionBy("c_mktsegment", "c_nationkey").text(path)
+    found = listing.list_inputs(spark, f"{path}/*/*", ".TXT", "")
+    return found.select(
+        F.regexp_extract("folder", "c_mktsegment=([^/]*)/", 1).alias("segment"),
+        F.regexp_extract("folder", "c_nationkey=([^/]*)$", 1).cast("bigint").alias("nation"),
+        "extension",
+        F.col("n_bytes").cast("bigint").alias("n_bytes"),
+    )
 
 
 def scan_stack(spark, d):
@@ -362,13 +443,13 @@ def scan_stack(spark, d):
 
 def write_read_maps(spark, d):
     path = scratch_folder(spark, "maps")
-    results.write_maps(correlation_map(fx.cube_frames(spark, d), reps=0), path)
-    return rounded(results.read_maps(spark, path, channel=0).select(*KEYS, "dy", "dx", "g", "n_frames", "status"))
+    results.write_maps(correlation_map(fx.cube_frames(spark, d), seed=7, gapless=True), path)
+    return rounded(results.read_maps(spark, path, channel=0).select(*MAP))
 
 
 def append_fits(spark, d):
     path = scratch_folder(spark, "fits")
-    maps = fx.part_maps(spark, d, half=4)
+    maps = fx.part_maps(spark, d)
     for channel, model, mode in ((0, "2D", "overwrite"), (0, "3D", "overwrite"), (1, "2D", "append"), (1, "3D", "append")):
         fits = fit.fit_maps(maps.where(F.col("channel") == channel), model)
         results.write_fits(fits, path, mode)
@@ -397,6 +478,7 @@ QUERIES = {
     "detrend_frames": detrend_frames,
     "detrend_holes": detrend_holes,
     "frame_autocorr": frame_autocorr,
+    "frame_autocorr_few": frame_autocorr_few,
     "frame_autocorr_fft": frame_autocorr_fft,
     "frame_autocorr_vec": frame_autocorr_vec,
     "frame_autocorr_events": frame_autocorr_events,
@@ -413,6 +495,11 @@ QUERIES = {
     "correlation_map_cropped": correlation_map_cropped,
     "correlation_map_drift": correlation_map_drift,
     "correlation_map_holes": correlation_map_holes,
+    "correlation_map_none": correlation_map_none,
+    "correlation_map_wide": correlation_map_wide,
+    "correlation_map_faults": correlation_map_faults,
+    "series_status": series_status_query,
+    "drift_faults": drift_faults,
     "acq_extract": acq_extract,
     "acq_attach": acq_attach,
     "lag_geometry": lag_geometry,
@@ -427,6 +514,8 @@ QUERIES = {
     "fit_scaled": fit_scaled,
     "fit_edges": fit_edges,
     "fit_job": fit_job_query,
+    "fit_job_models": fit_job_models,
+    "fit_residual": fit_residual,
     "tile_assign": tile_assign,
     "tile_valid": tile_valid,
     "tile_brightness": tile_brightness,
@@ -435,6 +524,8 @@ QUERIES = {
     "map_range": map_range,
     "tile_fit": tile_fit,
     "local_diffusion_map": local_map,
+    "local_map_acq": local_map_acq,
+    "local_map_faults": local_map_faults,
     "local_fast_axis": local_curves,
     "drift_estimate": drift_estimate,
     "drift_apply": drift_apply,
