@@ -8,7 +8,7 @@ threshold, so the mixes of growing budgets are nested.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagfield.llm.common import hash60, materialize, n_words
@@ -85,6 +85,22 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, bits: int = 12) -> DataFram
     )
 
 
+def _hash(doc_id: str) -> Column:
+    return hash60(F.lit("mix"), F.col(doc_id).cast("string"))
+
+
+def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return materialize(
+        docs.select(
+            F.col(doc_id).alias("doc_id"),
+            F.col(source).alias("source"),
+            n_words(F.col(text)).alias("size"),
+            _hash(doc_id).alias("hash"),
+        ),
+        "mix-sizes",
+    )
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, source, source_size, target, taken, repeats``.
 
@@ -93,15 +109,26 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     so reruns agree and rows of one ``doc_id`` are taken alike.  A null text has size 0; a null source is a source;
     null ids share one hash; an empty table gives no rows; further columns of ``docs`` are not looked at.
     """
-    sizes = materialize(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            n_words(F.col(text)).alias("size"),
-            hash60(F.lit("mix"), F.col(doc_id).cast("string")).alias("hash"),
-        ),
-        "mix-sizes",
+    sizes = _sizes(docs, doc_id, text, source)
+    return (
+        sizes.alias("d")
+        .join(mix_plan(sizes).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+        .select("d.doc_id", "d.size", "d.source", "t.source_size", "t.target", _repeats(F.col("d.hash")).alias("repeats"))
+        .withColumn("taken", F.col("size") * F.col("repeats"))
     )
+
+
+def _repeats(hash_: Column) -> Column:
+    """How often a row of ``hash_`` enters, from the plan of its source (``t``)."""
+    once_more = F.when(hash_ < F.coalesce("t.below", F.lit(0)), 1).otherwise(0)
+    return F.least(F.lit(MAX_REPEATS).cast("long"), F.col("t.whole") + once_more)
+
+
+def mix_plan(sizes: DataFrame) -> DataFrame:
+    """``source, source_size, target, whole, below``: rows enter ``whole`` times, and once more if their hash is below.
+
+    ``sizes``: ``source, size, hash`` of every row.  One row for each source, written, so that Spark knows its size.
+    """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources).withColumns(
         {
@@ -119,37 +146,21 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         "d.*", "t.source_no"
     )
     cut = thresholds(keyed, targets.where("source_size > 0").select("source_no", "budget"))
-    plan = targets.join(cut, "source_no", "left")
-    taken_once_more = F.when(F.col("d.hash") < F.coalesce("t.below", F.lit(0)), 1).otherwise(0)
-    return (
-        sizes.alias("d")
-        .join(plan.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select(
-            "d.doc_id",
-            "d.size",
-            "d.source",
-            "t.source_size",
-            "t.target",
-            F.least(F.lit(MAX_REPEATS).cast("long"), F.col("t.whole") + taken_once_more).alias("repeats"),
-        )
-        .withColumn("taken", F.col("size") * F.col("repeats"))
-    )
+    return materialize(targets.join(cut, "source_no", "left").drop("source_no", "budget"), "mix-plan")
 
 
-def apply_mix(docs: DataFrame, **names) -> DataFrame:
-    """The mixed rows themselves: each row of ``docs`` as often as the mix takes it (0 to 3 times); same columns."""
-    doc_id = names.get("doc_id", "doc_id")
-    mixed = mix_sources(docs, **names).select(
-        F.col("doc_id").alias("__id__"), F.col("source").alias("__source__"), "repeats"
-    )
-    # repeats depend on (id, source) alone, so repeated rows need one row of the plan only
-    plan = mixed.dropDuplicates(["__id__", "__source__"]).where("repeats > 0")
-    both = F.col(f"d.{doc_id}").eqNullSafe(F.col("p.__id__")) & F.col(f"d.{names.get('source', 'source')}").eqNullSafe(
-        F.col("p.__source__")
-    )
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed rows themselves: each row of ``docs`` as often as the mix takes it (0 to 3 times); same columns.
+
+    The hash of a row is worked out again and held against the plan of its source, so rows stay where they are read.
+    """
+    sizes = _sizes(docs, doc_id, text, source)
+    plan = mix_plan(sizes).select(*[F.col(c).alias(f"__{c}__") for c in ("source", "whole", "below")])
+    once_more = F.when(_hash(doc_id) < F.coalesce("__below__", F.lit(0)), 1).otherwise(0)
+    repeats = F.least(F.lit(MAX_REPEATS).cast("long"), F.col("__whole__") + once_more)
+    met = docs.join(plan, F.col(source).eqNullSafe(F.col("__source__"))).withColumn("__repeats__", repeats)
     return (
-        docs.alias("d")
-        .join(plan.alias("p"), both)
-        .select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.repeats"))).alias("__copy__"))
-        .drop("__copy__")
+        met.where("__repeats__ > 0")
+        .withColumn("__copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats__"))))
+        .select(*docs.columns)
     )

@@ -17,13 +17,22 @@ def solid_length(text: str) -> str:
 
 def line_fails(line: str) -> str:
     ws = words(line)
-    phrases = " OR ".join(f"contains(lower({line}), '{p}')" for p in quality.BOILERPLATE)
+    listed = ", ".join(f"'{p}'" for p in quality.BOILERPLATE)
+    phrases = f"coalesce(list_sum(list_transform(list_filter([{listed}], lambda p: contains(lower({line}), p)), lambda p: length(p))), 0)"
     return rf"""(len({ws}) > 0 AND (
         100 * len(list_filter({ws}, lambda w: regexp_matches(w, '[#*$%&|<>!?]{{2}}$'))) > 30 * len({ws})
         OR NOT regexp_matches({line}, '[\p{{L}}\p{{N}}]')
         OR 100 * len(list_filter({ws}, lambda w: w IN ('|', '>', '<', '»', '«', '·', '•', '/', '::'))) > 20 * len({ws})
-        OR (len({ws}) = 1 AND NOT regexp_matches({line}, '[.!?:;,"'')\]…][ \t\n\v\f\r]*$'))
-        OR {phrases}))"""
+        OR 100 * {phrases} > 20 * length({line})))"""
+
+
+def line_short(line: str) -> str:
+    ws = words(line)
+    return rf"""(len({ws}) BETWEEN 1 AND 3 AND NOT regexp_matches({line}, '[.!?:;,"'')\]…][ \t\n\v\f\r]*$'))"""
+
+
+IN_RUN = """((i > 2 AND shorts[i - 2] AND shorts[i - 1]) OR (i > 1 AND shorts[i - 1] AND coalesce(shorts[i + 1], false))
+        OR (coalesce(shorts[i + 1], false) AND coalesce(shorts[i + 2], false)))"""
 
 
 def quality_ctes(table: str) -> str:
@@ -38,7 +47,9 @@ def quality_ctes(table: str) -> str:
                 WHERE n > 1 GROUP BY doc_id),
     sole AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SOLID}')) AS solid,
                     string_split(t, chr(10)) AS lines FROM texts),
-    cleaned AS (SELECT *, list_filter(lines, lambda x: NOT {line_fails("x")}) AS good FROM sole),
+    judged_lines AS (SELECT *, list_transform(lines, lambda x: {line_fails("x")}) AS fails,
+                            list_transform(lines, lambda x: {line_short("x")}) AS shorts FROM sole),
+    cleaned AS (SELECT *, list_filter(lines, lambda x, i: NOT (fails[i] OR (shorts[i] AND {IN_RUN}))) AS good FROM judged_lines),
     measured AS (
         SELECT c.*, len(ws)::BIGINT AS n_words, {solid_length("t")}::BIGINT AS word_chars,
                (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,

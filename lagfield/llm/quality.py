@@ -34,6 +34,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SHOUT_PERCENT = 30
 MAX_BARS_PERCENT = 20
+MAX_PHRASE_PERCENT = 20
+SHORT_WORDS = 3
 MAX_LOST_PERCENT = 50
 
 
@@ -47,29 +49,52 @@ def _bars(ws: Column) -> Column:
     return F.size(F.filter(ws, lambda w: w.isin("|", ">", "<", "»", "«", "·", "•", "/", "::")))
 
 
-def line_fails(line: Column) -> Column:
-    """True if a line breaks a rule.
+def line_facts(line: Column) -> Column:
+    """``line``, whether it ``fails`` a rule by itself, and whether it is ``short``.
 
     * punctuation: over 30% of its words end in doubled marks (``word!!``, ``word###``), or it has no letter or digit
-    * navigation: over 20% of its words are separators, or it has one word and does not end a sentence
-    * boilerplate: it holds a phrase of ``BOILERPLATE``
-    A line without a word passes; it carries no text to lose.
+    * navigation: over 20% of its words are separators
+    * boilerplate: phrases of ``BOILERPLATE``, each counted once, are over 20% of its characters
+    A short line has up to three words and does not end a sentence; a heading is one, and so is an entry of a menu.
+    A line without a word is neither; it carries no text to lose.
     """
 
     def judge(ws):
         n = F.size(ws)
         low = F.lower(line)
-        return (n > 0) & (
+        phrases = F.aggregate(
+            F.array(*map(F.lit, BOILERPLATE)),
+            F.lit(0),
+            lambda sum_, p: sum_ + F.when(F.contains(low, p), F.char_length(p)).otherwise(0),
+        )
+        fails = (n > 0) & (
             (100 * _marked(ws) > MAX_SHOUT_PERCENT * n)
             | ~line.rlike(r"[\p{L}\p{N}]")
             | (100 * _bars(ws) > MAX_BARS_PERCENT * n)
-            | ((n == 1) & ~line.rlike(r"[.!?:;,\"')\]…]\s*$"))
-            | F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))
+            | (100 * phrases > MAX_PHRASE_PERCENT * F.char_length(line))
         )
+        short = (n > 0) & (n <= SHORT_WORDS) & ~line.rlike(r"[.!?:;,\"')\]…]\s*$")
+        return F.struct(line.alias("line"), fails.alias("fails"), short.alias("short"))
 
     return let(words(line), judge)
 
 
+def _in_run(facts: Column, i: Column) -> Column:
+    """True for a short line among three or more short lines one after another: a menu, not a heading."""
+    near = {k: F.coalesce(F.get(facts, i + k)["short"], F.lit(False)) for k in (-2, -1, 1, 2)}
+    return (near[-2] & near[-1]) | (near[-1] & near[1]) | (near[1] & near[2])
+
+
+def sound_lines(text: Column) -> Column:
+    """The lines of a text that neither fail by themselves nor are short ones in a run."""
+
+    def kept(facts):
+        stay = F.filter(facts, lambda f, i: ~(f["fails"] | (f["short"] & _in_run(facts, i))))
+        return F.transform(stay, lambda f: f["line"])
+
+    return let(F.transform(F.split(text, "\n"), line_facts), kept)
+
+
 def repeated_words(ws: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the array ``ws``.
 
@@ -143,8 +168,7 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     solid = lambda c: F.char_length(F.regexp_replace(c, BLANKS, ""))
-    kept = F.filter(F.split(whole, "\n"), lambda x: ~line_fails(x))
-    df = df.withColumn("__kept__", kept).withColumns(
+    df = df.withColumn("__kept__", sound_lines(whole)).withColumns(
         {
             "clean_text": F.array_join("__kept__", "\n"),
             "n_lines": F.size(F.split(whole, "\n")).cast("long"),

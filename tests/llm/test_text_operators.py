@@ -99,6 +99,23 @@ def test_quality(make, clash):
     assert quality_rules(make([])).collect() == []
 
 
+def test_lines_are_judged_by_their_share_and_runs(make):
+    good = "\n".join(" ".join(f"word{i}x{j}" for j in range(30)) + "." for i in range(3))
+    long = " ".join(f"w{i}" for i in range(5000)) + " see our privacy policy " + " ".join(f"v{i}" for i in range(100))
+    menu = "Home\nAbout us\nNews\nContact"
+    texts = [
+        long,
+        "Introduction\n" + good + "\nSecond part\n" + good.replace("x", "y"),
+        menu + "\n" + good + "\n" + menu,
+        good + "\nRead our privacy policy and terms of use",
+        "Home\nAbout\n\nNews\n" + good,
+    ]
+    rows = {r.doc_id: r for r in quality_rules(make(texts)).collect()}
+    assert all(r.kept for r in rows.values())
+    assert rows[0].clean_text == long and rows[1].clean_text == texts[1] and rows[4].clean_text == texts[4]
+    assert rows[2].clean_text == good and rows[2].n_lines_removed == 8 and rows[3].clean_text == good
+
+
 def test_repeated_words(make):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
