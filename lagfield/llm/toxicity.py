@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import math
 import string
-import zlib
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ STEPS = 300
 BATCH = 64
 RATE = 0.5
 #: Words a task remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 500_000
 
 _ENDS = string.punctuation
 
@@ -55,11 +55,15 @@ def split_words(text: str) -> list[str]:
 def subwords(word: str) -> list[int]:
     """Buckets of a word's n-grams and of the word itself, without punctuation at its ends unless it has nothing else."""
     marked = f"<{word.strip(_ENDS) or word}>"
-    grams = [
-        marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(max(0, len(marked) - n + 1))
-    ]
-    grams.append(marked)
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
+    data, size = marked.encode("utf-8", "replace"), len(marked)
+    if len(data) == size:  # characters are bytes
+        grams = [data[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(size - n + 1)]
+    else:
+        grams = [
+            marked[i : i + n].encode("utf-8", "replace") for n in range(SHORTEST, LONGEST + 1) for i in range(size - n + 1)
+        ]
+    grams.append(data)
+    return [crc32(g) % BUCKETS for g in grams]
 
 
 def bag(text: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
