@@ -78,9 +78,10 @@ def local_diffusion_map(
     smooth=True,
     defaults=None,
     gapless=None,
+    columns=MAP_COLUMNS,
     **psf,
 ):
-    """Pixel maps ``d``, ``amp`` and ``brightness`` of every image series.
+    """Pixel maps of every image series: ``columns`` of :func:`tile_fits`, by default ``d``, ``amp`` and ``brightness``.
 
     Tiles are correlated and fitted, painted back (later tiles win) and passed
     through a 3 x 3 median.  ``amp`` is the fitted amplitude.  ``status`` is
@@ -94,8 +95,8 @@ def local_diffusion_map(
     odd = series_status(images, keys).drop("height", "width")
     known = frames.where(named(keys))
     shape = shape or stack_shape(known, keys)
-    painted = paint_tiles(fits, shape, MAP_COLUMNS, size, step, keys)
-    whole = median_filter3(painted, MAP_COLUMNS, keys) if smooth else painted
+    painted = paint_tiles(fits, shape, columns, size, step, keys)
+    whole = median_filter3(painted, columns, keys) if smooth else painted
     # an image smaller than a tile has a map too, without values
     sizes = stack_shape(known, keys) if isinstance(shape, tuple) else shape
     small = sizes.where(F.least("height", "width") < size).where("height > 0 AND width > 0")
