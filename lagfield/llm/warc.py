@@ -17,9 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagfield.llm.common import materialize
+
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 FILE_RECORDS = 1000
+BITMAP_ROWS = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 #: Fixed value: profile of a record whose payload is that of another.
@@ -45,30 +48,39 @@ def _uri(url):
     return None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
+def _record_id(page, digest, place=""):
+    """The identifier of a record, known before it is written; ``place`` tells apart records that nothing refers to."""
+    return f"<urn:lagfield:page:{page}:{digest}{place}>"
+
+
 def _to_records(segment_bytes, chunk_bytes):
     def run(batches):
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for page, url, html, keeper in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for page, url, html, keeper, keeper_url, copy in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 body = (html or "").encode("utf-8", "surrogatepass")
-                own = f"<urn:lagfield:page:{page}:{part}-{nth}>"
+                digest = base32_sha1(body)
+                revisit = keeper is not None and page is not None and page != keeper
+                own = _record_id(page, digest, f":{part}-{nth}" if page is None or revisit or copy else "")
                 nth += 1
                 common = [
                     ("WARC-Date", DATE),
                     ("WARC-Target-URI", _uri(url)),
                     ("X-Page-ID", page),
                     ("X-Payload-Length", len(body)),
-                    ("WARC-Payload-Digest", "sha1:" + base32_sha1(body)),
+                    ("WARC-Payload-Digest", "sha1:" + digest),
                 ]
-                if keeper is not None:
+                if revisit:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                     fields = [
                         ("WARC-Type", "revisit"),
                         ("WARC-Record-ID", own),
                         *common,
                         ("WARC-Profile", SAME_PAYLOAD),
-                        ("WARC-Refers-To", f"<urn:lagfield:page:{keeper}>"),
+                        ("WARC-Refers-To", _record_id(keeper, digest)),
+                        ("WARC-Refers-To-Target-URI", _uri(keeper_url)),
+                        ("WARC-Refers-To-Date", DATE),
                         ("Content-Type", "application/http; msgtype=response"),
                         ("Content-Length", len(block)),
                     ]
@@ -97,6 +109,25 @@ def _to_records(segment_bytes, chunk_bytes):
     return run
 
 
+def _flagged(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``rows`` with ``flag``: true where ``key`` is in ``again``, and by chance for some others.
+
+    A bitmap of hashed keys goes to all tasks: at most ``BITMAP_ROWS`` rows of 64 bits, however many keys there are.
+    """
+
+    def placed(df):
+        h = F.xxhash64("key")
+        return df.withColumns(
+            {"__row__": F.pmod(h, F.lit(BITMAP_ROWS)), "__bit__": F.shiftrightunsigned(h, 58).cast("int")}
+        )
+
+    bit = F.expr("shiftleft(1L, __bit__)")
+    bits = placed(again).groupBy("__row__").agg(F.bit_or(bit).alias("__bits__"))
+    found = placed(rows).join(F.broadcast(bits), "__row__", "left")
+    flag = F.coalesce(F.col("__bits__").bitwiseAND(bit) != 0, F.lit(False))
+    return found.withColumn("flag", flag).drop("__row__", "__bit__", "__bits__")
+
+
 def write_warc(
     pages: DataFrame,
     folder: str,
@@ -111,27 +142,56 @@ def write_warc(
     """Write one record for each row of ``pages`` below ``folder``, long ones in segments.
 
     Of equal payloads of ``revisit_bytes`` or more the row with the largest id is the response, the others are revisits
-    of it.  A null page is empty.  A row without an id is a response; so is each row that repeats the largest id.
-    Payloads are told apart by SHA-256; only digests that occur again are joined, and rows of one digest are counted where they
-    are read, so a group of any size may be a third of all pages.  File sizes are bounded by ``file_records`` segments.
+    of it and name its record.  A null page is empty.  A row without an id is a response; so is each row that repeats the
+    largest id, of which one has the record that revisits name.  Payloads are told apart by SHA-256; rows of one digest
+    are counted where they are read, and pages whose digest is outside a bitmap of those that occur again are written
+    where they are read.  File sizes are bounded by ``file_records`` segments.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page"),
         F.col(url).alias("url"),
         F.col(html).alias("html"),
         F.sha2(F.coalesce(F.col(html), F.lit("")).cast("binary"), 256).alias("key"),
-        F.coalesce(F.octet_length(html), F.lit(0)).alias("bytes"),
+        (F.coalesce(F.octet_length(html), F.lit(0)) >= revisit_bytes).alias("counts"),
     )
+    spark = pages.sparkSession
     again = (
-        rows.where(F.col("bytes") >= revisit_bytes)
-        .groupBy("key")
-        .agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n"))
+        rows.groupBy("key", "page", "counts")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("url").alias("url"))
+        .groupBy("key", "counts")
+        .agg(
+            F.max(F.struct("page", F.col("n").alias("tops"), F.col("url").alias("keeper_url"))).alias("top"),
+            F.sum("n").alias("n"),
+        )
         .where("n > 1")
-        .select("key", "keeper")
+        .select("key", "counts", F.col("top.page").alias("keeper"), "top.tops", "top.keeper_url")
+    )
+    again = materialize(again, "warc-again")
+    met = _flagged(rows, again).withColumn("counts", F.col("counts").cast("int"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("keeper", "long"), ("keeper_url", "string"))]
+    alone = met.where("NOT flag").select("page", "url", "html", *none, F.lit(False).alias("copy"))
+    twin = F.col("page").eqNullSafe(F.col("keeper")) & (F.col("tops") > 1)
+    linked = (
+        met.where("flag")
+        .join(again.drop("counts"), "key", "left")
+        .select("page", "url", "html", "key", "counts", "keeper", "keeper_url", F.coalesce(twin, F.lit(False)).alias("twin"))
+    )
+    # below the size for revisits nothing refers to a record, and rows may repeat an id and a payload
+    others = linked.where("NOT twin OR counts = 0").select(
+        "page",
+        "url",
+        "html",
+        *[F.when(F.col("counts") == 1, F.col(c)).alias(c) for c in ("keeper", "keeper_url")],
+        (F.col("counts") == 0).alias("copy"),
     )
-    linked = rows.join(again, "key", "left").select(
-        "page", "url", "html", F.when(F.col("page") != F.col("keeper"), F.col("keeper")).alias("keeper")
+    # rows that repeat the largest id: written once, so that their places stay, and the first place is the one to name
+    twins = linked.where("twin AND counts = 1").select("page", "url", "html", "keeper", "keeper_url", "key")
+    twins = materialize(twins.withColumn("place", F.monotonically_increasing_id()), "warc-twins")
+    first = twins.groupBy(F.col("key").alias("of")).agg(F.min("place").alias("least"))
+    twins = twins.join(first, F.col("key") == F.col("of")).select(
+        "page", "url", "html", "keeper", "keeper_url", (F.col("place") > F.col("least")).alias("copy")
     )
+    linked = alone.unionByName(others).unionByName(twins)
     records = linked.mapInArrow(_to_records(segment_bytes, chunk_bytes), "value binary")
     (
         records.select(F.col("value").cast("string"))
@@ -175,7 +235,7 @@ def _parse(data: bytes, path: str):
             _number(fields.get("WARC-Segment-Number")),
             _number(fields.get("WARC-Segment-Total-Length")),
             _number(fields.get("X-Page-ID")),
-            None if refers is None else int(refers.strip("<>").rsplit(":", 1)[1]),
+            None if refers is None else int(refers.strip("<>").split(":")[3]),
             fields.get("WARC-Payload-Digest", ":").split(":", 1)[1],
             _number(fields.get("X-Payload-Length")),
             data[begin:end],
