@@ -17,7 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagfield.llm.common import materialize
@@ -28,6 +28,7 @@ HEADER = np.dtype([("n", "<u4"), ("flags", "<u4"), ("key", "<i8")])
 CLOSE = "\x1e\x1e"
 SHARD_BYTES = 16 << 20
 BLOCK_KEYS = 1024
+SHARD_GROUP = 4096
 CACHE_WORDS = 600_000
 SLICE_BYTES = 4 << 20
 
@@ -237,10 +238,14 @@ def _walk(dtype, with_ids):
     return run
 
 
-def read_shards(spark: SparkSession, folder: str, dtype: str, with_ids: bool = False) -> DataFrame:
-    """Every record of the shards: ``shard, offset, nth, doc_id, n_tokens, ids_crc32, before`` (ids before it in its
+def read_shards(
+    spark: SparkSession, folder: str, dtype: str, with_ids: bool = False, shards: list[str] | None = None
+) -> DataFrame:
+    """Every record of all shards, or of the named ones, which alone are opened: ``shard, offset, nth, doc_id, n_tokens, ids_crc32, before`` (ids before it in its
     shard) and ``ids`` (null unless asked for).  A record without its closing bytes is an error."""
-    files = spark.read.format("binaryFile").load(f"{folder}/shards").select("path", "content")
+    files = spark.read.format("binaryFile").load(
+        f"{folder}/shards" if shards is None else [f"{folder}/shards/{name}" for name in shards]
+    ).select("path", "content")
     return files.mapInArrow(
         _walk(dtype, with_ids),
         "shard string, offset bigint, nth bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint, before bigint,"
@@ -328,15 +333,32 @@ def _keyed(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.withColumns({"hash": h(1), "print": F.shiftright(h(2), 32).cast("int"), "block": F.pmod(h(3), F.lit(blocks))})
 
 
+def shard_number(shard: Column) -> Column:
+    """The number in a shard's file name; as text, part-100000 would come before part-99999."""
+    return F.regexp_extract(shard, r"part-([0-9]+)", 1).cast("long")
+
+
+def _before(totals: DataFrame, value: str) -> DataFrame:
+    """``shard, first``: the sum of ``value`` over the shards before, in the order of their numbers.
+
+    Shards are added up in groups of ``SHARD_GROUP``, so that no task sees all of them; one orders the groups' sums.
+    """
+    rows = totals.withColumn("number", shard_number(F.col("shard")))
+    rows = rows.withColumn("group", F.floor(F.col("number") / SHARD_GROUP))
+    so_far = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("group").agg(F.sum(value).alias(value))
+    groups = groups.select("group", so_far(Window.orderBy("group")).alias("earlier"))
+    inside = rows.select("shard", "group", so_far(Window.partitionBy("group").orderBy("number")).alias("inside"))
+    return inside.join(groups, "group").select("shard", (F.col("earlier") + F.col("inside")).alias("first"))
+
+
 def write_index(records: DataFrame, folder: str, block_keys: int = BLOCK_KEYS) -> int:
     """Write the index of ``records`` (see ``read_shards``) to ``folder``/index and return its number of blocks.
 
     The key is ``doc_id`` with a copy number from 0, which tells rows that repeat an id apart.  Copies follow each other in
     the shards, so a copy's number is its place less the first place of its id, and no group is gathered.
     """
-    counts = records.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard file
-    first = counts.select("shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    first = _before(records.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")), "rows")
     placed = records.join(first, "shard").withColumn("place", F.col("first") + F.col("nth"))
     least = placed.groupBy("doc_id").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
     repeated = least.where("n > 1").select(F.col("doc_id").alias("id"), "least")
@@ -348,7 +370,7 @@ def write_index(records: DataFrame, folder: str, block_keys: int = BLOCK_KEYS) -
         _build,
         "block bigint, n bigint, seeds array<bigint>, prints array<int>, shards array<string>, offsets array<bigint>",
     )
-    built.write.parquet(f"{folder}/index")
+    built.sortWithinPartitions("block").write.parquet(f"{folder}/index")
     return blocks
 
 
@@ -384,9 +406,17 @@ def look_up(keys: DataFrame, folder: str, blocks: int) -> DataFrame:
 
 
 def fetch(keys: DataFrame, folder: str, blocks: int, dtype: str) -> DataFrame:
-    """``doc_id, copy, ids`` of the keys ``doc_id, copy`` from the shards, by their places in the index."""
-    found = look_up(keys, folder, blocks)
-    records = read_shards(keys.sparkSession, folder, dtype, with_ids=True)
+    """``doc_id, copy, ids`` of the keys ``doc_id, copy`` from the shards, by their places in the index.
+
+    Only the shards that hold a key are opened.  Their names pass through the driver, one for each key asked for at
+    most: this is the read for a request's keys, ``read_shards`` the one for a whole collection.
+    """
+    spark = keys.sparkSession
+    found = materialize(look_up(keys, folder, blocks), "token-places")
+    names = sorted(r.shard for r in found.select("shard").distinct().collect())
+    if not names:
+        return spark.createDataFrame([], "doc_id bigint, copy bigint, ids array<int>")
+    records = read_shards(spark, folder, dtype, with_ids=True, shards=names)
     both = found.join(records.select(F.col("doc_id").alias("own"), "shard", "offset", "ids"), ["shard", "offset"])
     return both.where(F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "copy", "ids")
 
@@ -401,9 +431,7 @@ def token_table(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
     dtype = write_shards(docs, folder, tokenizer, doc_id, text, **options)
     records = materialize(read_shards(docs.sparkSession, folder, dtype).drop("ids"), "token-records")
     blocks = write_index(records, folder)
-    totals = records.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard file
-    starts = totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    starts = _before(records.groupBy("shard").agg(F.sum("n_tokens").alias("ids")), "ids")
     keys = docs.groupBy(F.col(doc_id).cast("long").alias("doc_id")).count().select(
         "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("copy")
     )

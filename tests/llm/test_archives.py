@@ -206,6 +206,29 @@ def test_archive_round_trip(spark, clash, tmp_path):
         assert Counter((r.page_id, r.type, r.refers_to, r.length, r.found_digest, None if r.payload is None else bytes(r.payload)) for r in back) == want
 
 
+def test_revisits_name_a_record(spark, tmp_path):
+    """Every record has an identifier of its own, and what a revisit names is the response with its payload."""
+    htmls = ["x", "x", "x", "y" * 3000, "y" * 3000, None, "", "z"]
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(htmls)]
+    rows += [(4, "http://h/4", "y" * 3000), (4, "http://h/4", "y" * 3000), (None, None, "x"), (None, None, "x"), (7, "http://h/7", "q")]
+    for nth, least in enumerate((0, 2)):
+        folder = str(tmp_path / f"warc{nth}")
+        warc.write_warc(pages_of(spark, rows), folder, revisit_bytes=least, segment_bytes=1000)
+        files = spark.read.format("binaryFile").load(folder).collect()
+        heads = [h for f in files for h in warc._inflate(bytes(f.content)).decode().split("WARC/1.1\r\n")[1:]]
+        fields = [dict(x.split(": ", 1) for x in h.split("\r\n\r\n")[0].split("\r\n")) for h in heads]
+        ids = {f["WARC-Record-ID"]: f for f in fields}
+        assert len(ids) == len(fields)
+        revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+        assert len(revisits) == (4 if least == 0 else 1)
+        for f in revisits:
+            named = ids[f["WARC-Refers-To"]]
+            assert named["WARC-Type"] == "response" and named["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+            assert f["WARC-Refers-To-Target-URI"] == named["WARC-Target-URI"]
+        back = warc.read_warc(spark, folder).collect()
+        assert len(back) == len(rows) and all(r.sound for r in back)
+
+
 def test_missing_segment_is_told(spark, tmp_path):
     folder = str(tmp_path / "warc")
     warc.write_warc(pages_of(spark, [(1, "u", "a" * 5000), (2, "u", "b")]), folder, segment_bytes=1000)
@@ -273,5 +296,27 @@ def test_token_table(make, clash, spark, tmp_path):
     assert found[14, 0] == ids[14][0] and found[None, 0] == ids[None][0]
 
 
+def test_shards_go_by_number(spark):
+    """Beyond 99999 the names of shards no longer sort as text."""
+    numbers = [0, 1, 4095, 4096, 9999, 99_998, 99_999, 100_000, 100_001, 1_234_567]
+    rows = [(f"part-{n:05d}-abc-c000.txt", n + 1) for n in numbers]
+    totals = spark.createDataFrame(rows[::-1], "shard string, ids bigint")
+    got = {r.shard: r.first for r in token_shards._before(totals, "ids").collect()}
+    assert [got[s] for s, _ in rows] == np.cumsum([0] + [n for _, n in rows])[:-1].tolist()
+
+
+def test_keyed_reads_open_few_shards(make, spark, tmp_path):
+    docs = make([(i, f"text {i} " * 200, "en", "s") for i in range(120)])
+    folder = str(tmp_path / "shards")
+    token_shards.token_table(docs, folder, tokenizer(), shard_bytes=20_000)
+    asked = spark.createDataFrame([(3, 0), (4, 0)], "doc_id long, copy long")
+    got = token_shards.fetch(asked, folder, 1, "<u2")
+    assert {r.doc_id for r in got.collect()} == {3, 4}
+    opened = [f for f in got.inputFiles() if "part-" in f and f.endswith(".txt")]
+    assert 0 < len(opened) <= 2 < len([f for f in (tmp_path / "shards" / "shards").iterdir() if f.name.endswith(".txt")])
+    none = spark.createDataFrame([(999, 0)], "doc_id long, copy long")
+    assert token_shards.fetch(none, folder, 1, "<u2").collect() == []
+
+
 def test_empty_token_table(make, tmp_path):
     assert token_shards.token_table(make([]), str(tmp_path / "shards"), tokenizer()).collect() == []
