@@ -19,6 +19,7 @@ from lagfield.operators.geometry import (
 )
 from lagfield.operators.lags import attach_acq, fit_cost, fit_maps_eval, with_acq, with_lag_geometry
 from lagfield.operators.layout import stack_shape, to_frames, to_pixels
+from lagfield.operators.rectangles import paint_rectangles, rectangle_range, tile_moments, tile_rectangles
 from lagfield.operators.reduce import bootstrap_sd, mean_map, pair_uncertainty
 from lagfield.operators.stats import brightness, frame_stats, intensity_trace, map_range, mean_projection
 from lagfield.operators.tiles import assign_tiles, paint_tiles, valid_tiles

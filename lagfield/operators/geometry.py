@@ -108,6 +108,13 @@ def with_distance(df, pixel_um, lag="dx"):
     return df.withColumn("distance_um", F.col(lag) * scale)
 
 
+def middle_of(structs, name):
+    """Median of field ``name`` of an array of structs, NULLs ignored."""
+    values = F.array_sort(F.filter(F.transform(structs, lambda s: s[name]), lambda v: v.isNotNull()))
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2.0
+
+
 def median_filter3(local_map, columns, keys=KEYS):
     """3 x 3 median of each column; borders mirrored, NULLs ignored.
 
@@ -133,10 +140,7 @@ def median_filter3(local_map, columns, keys=KEYS):
     )
 
     def median(name):
-        values = F.array_sort(F.filter(F.transform("_all", lambda s: s[name]), lambda v: v.isNotNull()))
-        n = F.size(values)
-        middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2.0
-        return F.when(F.col(name).isNotNull(), middle).alias(name)
+        return F.when(F.col(name).isNotNull(), middle_of("_all", name)).alias(name)
 
     kept = [c for c in local_map.columns if c not in columns]
     return nine.select(*kept, *[median(c) for c in columns])

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from lagfield.functions.physics import particle_number
 from lagfield.operators.detrend import check_window
 from lagfield.operators.fit import fit_maps
-from lagfield.operators.geometry import blank_zero_lag, crop_center, fast_axis, median_filter3, with_distance
+from lagfield.operators.geometry import blank_zero_lag, crop_center, fast_axis, with_distance
 from lagfield.operators.lags import attach_acq, fit_maps_eval, with_acq, with_lag_geometry
 from lagfield.operators.layout import SeriesFacts, as_frames, named, number_frames, series_status, sound_frames, stack_shape
+from lagfield.operators.rectangles import paint_rectangles, tile_rectangles
 from lagfield.operators.reduce import finish_sums, partial_sums
-from lagfield.operators.tiles import check_tiles, paint_tiles
+from lagfield.operators.tiles import check_tiles
 from lagfield.plans.correlation_job import residual_chunks
 from lagfield.schema import KEYS, TILE
 
@@ -84,7 +85,8 @@ def local_diffusion_map(
     """Pixel maps of every image series: ``columns`` of :func:`tile_fits`, by default ``d``, ``amp`` and ``brightness``.
 
     Tiles are correlated and fitted, painted back (later tiles win) and passed
-    through a 3 x 3 median.  ``amp`` is the fitted amplitude.  ``status`` is
+    through a 3 x 3 median, which is taken of tiles: pixels are the last thing
+    made and are not shuffled.  ``amp`` is the fitted amplitude.  ``status`` is
     ``ok`` for pixels; a series that has none because of its keys or sizes has
     one row that names the reason.
     """
@@ -95,8 +97,7 @@ def local_diffusion_map(
     odd = series_status(images, keys).drop("height", "width")
     known = frames.where(named(keys))
     shape = shape or stack_shape(known, keys)
-    painted = paint_tiles(fits, shape, columns, size, step, keys)
-    whole = median_filter3(painted, columns, keys) if smooth else painted
+    whole = paint_rectangles(tile_rectangles(fits, shape, columns, size, step, keys, smooth), columns, keys)
     # an image smaller than a tile has a map too, without values
     sizes = stack_shape(known, keys) if isinstance(shape, tuple) else shape
     small = sizes.where(F.least("height", "width") < size).where("height > 0 AND width > 0")

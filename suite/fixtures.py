@@ -95,6 +95,17 @@ def holes(spark, sf_dir):
     return cube(spark, sf_dir).withColumn("intensity", F.when(~hole, F.col("intensity")))
 
 
+def hole_frames(spark, sf_dir):
+    """:func:`holes` in the array layout."""
+    def punched(value, at):
+        y, x = F.floor(at / SIDE), at % SIDE
+        phase = (y + x + F.col("frame")) % 3
+        hole = (y < 8) & ((phase == 0) | ((x < 8) & (phase == 2)))
+        return F.when(~hole, value)
+
+    return cube_frames(spark, sf_dir).withColumn("pixels", F.transform("pixels", punched))
+
+
 def some_holes(spark, sf_dir):
     """The cube with the samples of :func:`holes` missing in one month only, so that some windows are whole."""
     phase = (F.col("y") + F.col("x")) % 3

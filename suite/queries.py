@@ -11,6 +11,7 @@ from lagfield.operators import (
     geometry,
     lags,
     layout,
+    rectangles,
     reduce,
     stats,
     tiles,
@@ -327,22 +328,24 @@ def tile_assign(spark, d):
 
 
 def tile_valid(spark, d):
-    tiled = tiles.assign_tiles(fx.holes(spark, d), SHAPE, **TILES)
-    kept = tiles.valid_tiles(tiled, 0.5)
-    return rounded(kept.groupBy(*KEYS, *TILE).agg(F.count("intensity").alias("n_pixels")))
+    kept = rectangles.tile_moments(fx.hole_frames(spark, d), **TILES).where("valid_fraction >= 0.5")
+    return rounded(kept.select(*KEYS, *TILE, F.col("n_seen").alias("n_pixels")))
 
 
 def tile_brightness(spark, d):
-    return rounded(stats.brightness(tiles.assign_tiles(fx.cube(spark, d), SHAPE, size=7, step=4)))
+    moments = rectangles.tile_moments(fx.cube_frames(spark, d), size=7, step=4)
+    return rounded(moments.select(*KEYS, *TILE, "brightness"))
+
+
+def _bright_tiles(spark, d, size):
+    """Brightness of tiles, one of them without."""
+    bright = rectangles.tile_moments(fx.cube_frames(spark, d), size=size, step=4)
+    kept = (F.col("tile_y0") != 4) | (F.col("tile_x0") != 4)
+    return bright.select(*KEYS, *TILE, F.when(kept, F.col("brightness")).alias("brightness"))
 
 
 def _painted(spark, d, size):
-    shape = (fx.SIDE, fx.SIDE)
-    bright = stats.brightness(tiles.assign_tiles(fx.cube(spark, d), shape, size=size, step=4))
-    gaps = bright.withColumn(
-        "brightness", F.when((F.col("tile_y0") != 4) | (F.col("tile_x0") != 4), F.col("brightness"))
-    )
-    return tiles.paint_tiles(gaps, shape, ["brightness"], size, 4)
+    return tiles.paint_tiles(_bright_tiles(spark, d, size), SHAPE, ["brightness"], size, 4)
 
 
 def paint_tiles(spark, d):
@@ -350,10 +353,21 @@ def paint_tiles(spark, d):
 
 
 def median3(spark, d):
+    boxes = rectangles.tile_rectangles(_bright_tiles(spark, d, 7), SHAPE, ["brightness"], 7, 4, smooth=True)
+    return rounded(rectangles.paint_rectangles(boxes, ["brightness"]))
+
+
+def median3_pixels(spark, d):
+    """The median of a map that comes as pixels."""
     return rounded(geometry.median_filter3(_painted(spark, d, 7), ["brightness"]))
 
 
 def map_range(spark, d):
+    boxes = rectangles.tile_rectangles(_bright_tiles(spark, d, 7), SHAPE, ["brightness"], 7, 4)
+    return rounded(rectangles.rectangle_range(boxes, "brightness"))
+
+
+def map_range_pixels(spark, d):
     return rounded(stats.map_range(_painted(spark, d, 7), "brightness"))
 
 
@@ -521,7 +535,9 @@ QUERIES = {
     "tile_brightness": tile_brightness,
     "paint_tiles": paint_tiles,
     "median3": median3,
+    "median3_pixels": median3_pixels,
     "map_range": map_range,
+    "map_range_pixels": map_range_pixels,
     "tile_fit": tile_fit,
     "local_diffusion_map": local_map,
     "local_map_acq": local_map_acq,
