@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from lagfield.operators.correlate import autocorr, autocorr_frames
+from lagfield.operators.correlate import autocorr, autocorr_frames, autocorr_strips, image_strips
 from lagfield.operators.detrend import detrend, detrend_frames
 from lagfield.operators.drift import apply_drift, drift_correct, estimate_drift
 from lagfield.operators.fit import fit_maps

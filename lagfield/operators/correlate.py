@@ -8,6 +8,9 @@ from lagfield.operators import kernels
 from lagfield.operators.layout import as_frames
 from lagfield.schema import KEYS, types_of
 
+#: Samples of a strip of an image, without the rows its lags reach.
+STRIP_SAMPLES = 1 << 16
+
 
 def by_shape(batch):
     """Rows of an Arrow batch with pixels, grouped by image size."""
@@ -54,14 +57,12 @@ def autocorr_frames(frames, keys=KEYS, max_lag=None):
 def autocorr(df, keys=KEYS, max_lag=None, method="fft"):
     """``frame_corr`` rows: keys, frame, dy, dx, g.
 
-    ``fft`` is the default.  ``lags`` stays in the JVM and forms, for one half
-    of the lag plane, the product of an image with its shifted self inside its
-    own row; the other half follows from g(dy, dx) = g(-dy, -dx).  It costs
-    pixels x lags per image and suits few lags.  An image with a missing
-    sample or mean 0 gives NULL.
+    ``fft`` is the default.  ``lags`` stays in the JVM, see
+    :func:`autocorr_strips`; it costs pixels x lags per image and suits few
+    lags.  An image with a missing sample or mean 0 gives NULL.
     """
-    frames = as_frames(df, keys)
     if method == "fft":
+        frames = as_frames(df, keys)
         arrays = autocorr_frames(frames, keys, max_lag)
         return arrays.select(*keys, "frame", "dy0", "dx0", "n_dx", F.posexplode("g").alias("pos", "g")).select(
             *keys,
@@ -71,64 +72,115 @@ def autocorr(df, keys=KEYS, max_lag=None, method="fft"):
             "g",
         )
     if method == "lags":
-        return _autocorr_products(frames, keys, max_lag)
+        return autocorr_strips(df, keys, max_lag)
     raise ValueError("method must be 'fft' or 'lags'")
 
 
-def _autocorr_products(frames, keys, max_lag):
-    def centred(lag, size):
-        return f"(if({lag} <= ({size} - 1) div 2, {lag}, {lag} - {size}))"
-
-    def kept(lag, size, limit):
-        return f"abs({centred(lag, size)}) <= {int(limit)}"
-
-    limits = "true"
-    if max_lag is not None:
-        limits = f"{kept('l.a', 'height', max_lag[0])} and {kept('l.b', 'width', max_lag[1])}"
-    # (a, b) and its mirror image carry the same value: keep the smaller one.
-    mirror = "named_struct('a', (height - l.a) % height, 'b', (width - l.b) % width)"
-    shifted = (
-        "flatten(transform(sequence(0, height - 1), r -> concat("
-        "slice(v, ((r + l.a) % height) * width + l.b + 1, width - l.b),"
-        "slice(v, ((r + l.a) % height) * width + 1, l.b))))"
+def image_strips(df, keys=KEYS, rows=None, reach=None):
+    """Images cut into strips of ``rows`` rows, each followed by the ``reach`` rows below it (rows below the last are the first).
+
+    ``strip`` counts from 0, ``n_rows`` are its own rows, ``part`` its samples row by row.  By default a strip has about
+    ``STRIP_SAMPLES`` samples of its own and reaches half the image.  From the long layout each sample goes straight to
+    the strips that need it, so no row ever holds a whole image.  An image whose rows do not fill its rectangle has none.
+    """
+    keys = list(keys)
+    size = f"cast({int(rows)} as int)" if rows else f"greatest(1, cast({STRIP_SAMPLES} div width as int))"
+    below = "height div 2" if reach is None else f"least({int(reach)}, height div 2)"
+    plan = {"_rows": F.expr(size), "_below": F.expr(f"cast({below} as int)")}
+    if "pixels" in df.columns:
+        whole = df.where("height > 0 AND width > 0 AND size(pixels) = height * width").withColumns(plan)
+        strips = whole.select(
+            *keys,
+            "frame",
+            "height",
+            "width",
+            F.expr(
+                "inline(transform(sequence(0, (height - 1) div _rows), k -> named_struct('strip', cast(k as int),"
+                " 'n_rows', cast(least(_rows, height - k * _rows) as int),"
+                " 'part', flatten(transform(sequence(k * _rows, least((k + 1) * _rows, height) - 1 + _below),"
+                " r -> slice(pixels, cast((r % height) * width + 1 as int), width))))))"
+            ),
+        )
+        return strips.withColumn("part", F.col("part").cast("array<double>"))
+    on = [*keys, "frame"]
+    sizes = df.groupBy(*on).agg(
+        (F.max("y") + 1).cast("int").alias("height"),
+        (F.max("x") + 1).cast("int").alias("width"),
+        F.count(F.lit(1)).alias("_n"),
+    ).where("_n = height * width")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
+    sized = df.alias("p").join(sizes.alias("s"), same).select("p.*", "s.height", "s.width").withColumns(plan)
+    # the strips above, round the border: one more than the reach takes, as the last strip may be short
+    count = "((height - 1) div _rows + 1)"
+    above = f"sequence(0, least({count} - 1, (_below + _rows - 1) div _rows + 2))"
+    placed = (
+        f"transform({above}, j -> named_struct('strip', cast(pmod(y div _rows - j, {count}) as int),"
+        f" 'at', cast(pmod(y - pmod(y div _rows - j, {count}) * _rows, height) as int)))"
     )
-    numbered = frames.where("height > 0 and width > 0 and pixels is not null").select(
-        *keys,
-        "frame",
+    # where a strip and its reach go round the whole image, its first rows come again at the end
+    again = f"transform({placed}, p -> named_struct('strip', p.strip, 'at', p.at + height))"
+    needed = f"filter(concat({placed}, {again}), p -> p.at < least(_rows, height - p.strip * _rows) + _below)"
+    sent = sized.withColumn("_own", F.explode(F.expr(needed)))
+    return sent.groupBy(*on, "height", "width", "_rows", F.col("_own.strip").alias("strip")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_own.at").alias("at"), "x", "intensity"))).alias("_samples")
+    ).select(
+        *on,
         "height",
         "width",
-        F.transform("pixels", lambda p: p.cast("double")).alias("v"),
-        F.expr("transform(sequence(0, height * width - 1), i -> named_struct('a', i div width, 'b', i % width))").alias(
-            "residues"
-        ),
+        "strip",
+        F.expr("cast(least(_rows, height - strip * _rows) as int)").alias("n_rows"),
+        F.transform("_samples", lambda s: s["intensity"].cast("double")).alias("part"),
     )
-    norm = numbered.withColumn("mean", F.expr("aggregate(v, 0D, (s, p) -> s + p) / (height * width)")).withColumn(
-        "half", F.expr(f"filter(residues, l -> l <= {mirror} and {limits})")
+
+
+def autocorr_strips(df, keys=KEYS, max_lag=None, rows=None):
+    """``frame_corr`` rows from lag products of strips, for images too large for a transform, or few lags.
+
+    A strip meets the rows its lags reach, its products are summed within its row, and the sums of an image's strips
+    are added up: a few numbers a lag, most of them before the shuffle.  Only wanted lags are formed, one of each pair
+    (dy, dx) and (-dy, -dx), which have the same value.  (keys, frame) names one image.  An image with a missing
+    sample or mean 0 gives NULL.
+    """
+    keys = list(keys)
+    strips = image_strips(df, keys, rows, None if max_lag is None else max_lag[0])
+    slow = "height div 2" if max_lag is None else f"least({int(max_lag[0])}, height div 2)"
+    fast = "width div 2" if max_lag is None else f"least({int(max_lag[1])}, width div 2)"
+    # b runs round the axis; on the rows that are their own mirror image half of it is enough
+    shifts = f"transform(sequence(-cast({fast} as int), least(cast({fast} as int), (width - 1) div 2)), b -> cast(pmod(b, width) as int))"
+    half = f"filter({shifts}, b -> NOT (a = 0 OR 2 * a = height) OR b <= width div 2)"
+    moved = (
+        "flatten(transform(sequence(a, a + n_rows - 1), r -> concat("
+        "slice(part, cast(r * width + b + 1 as int), width - b), slice(part, cast(r * width + 1 as int), b))))"
     )
-    products = norm.select(
+    product = f"aggregate(zip_with(slice(part, 1, n_rows * width), {moved}, (p, q) -> p * q), 0D, (s, p) -> s + p)"
+    sums = strips.select(
         *keys,
         "frame",
         "height",
         "width",
+        F.expr("aggregate(slice(part, 1, n_rows * width), 0D, (s, p) -> s + p)").alias("_total"),
         F.expr(
-            "inline(transform(half, l -> named_struct('a', l.a, 'b', l.b, 'g',"
-            f" aggregate(zip_with(v, {shifted}, (p, q) -> p * q), 0D, (s, p) -> s + p)"
-            " / nullif(height * width * mean * mean, 0D) - 1D)))"
+            f"inline(flatten(transform(sequence(0, cast({slow} as int)), a ->"
+            f" transform({half}, b -> named_struct('a', a, 'b', b, '_product', {product})))))"
         ),
     )
-    both = products.withColumn(
-        "lag",
-        F.explode(
-            F.expr(
-                "array_distinct(array(named_struct('a', a, 'b', b),"
-                " named_struct('a', (height - a) % height, 'b', (width - b) % width)))"
-            )
-        ),
+    added = sums.groupBy(*keys, "frame", "height", "width", "a", "b").agg(
+        F.sum("_product").alias("_product"),
+        (F.sum("_total") / (F.col("height") * F.col("width"))).alias("_mean"),
+        (F.count("_product") == F.count(F.lit(1))).alias("_whole"),
     )
+    scale = F.nullif(F.col("height") * F.col("width") * F.col("_mean") * F.col("_mean"), F.lit(0.0))
+    lag = F.expr(
+        "array_distinct(array(named_struct('a', a, 'b', b),"
+        " named_struct('a', cast((height - a) % height as int), 'b', cast((width - b) % width as int))))"
+    )
+    both = added.withColumn("g", F.when(F.col("_whole"), F.col("_product") / scale - 1.0)).withColumn("lag", F.explode(lag))
+
+    def centred(lag, size):
+        return F.expr(f"cast(if({lag} <= ({size} - 1) div 2, {lag}, {lag} - {size}) as int)")
+
     return both.select(
-        *keys,
-        "frame",
-        F.expr(f"cast({centred('lag.a', 'height')} as int)").alias("dy"),
-        F.expr(f"cast({centred('lag.b', 'width')} as int)").alias("dx"),
-        "g",
+        *keys, "frame", centred("lag.a", "height").alias("dy"), centred("lag.b", "width").alias("dx"), "g"
     )

@@ -585,3 +585,4 @@ still AS MATERIALIZED (SELECT * FROM dt)""",
 # the same results by another path
 ORACLE["median3_pixels"] = ORACLE["median3"]
 ORACLE["map_range_pixels"] = ORACLE["map_range"]
+ORACLE["frame_autocorr_strips"] = ORACLE["frame_autocorr"]

@@ -121,6 +121,11 @@ def frame_autocorr_few(spark, d):
     return rounded(correlate.autocorr(frames, max_lag=(3, 2), method="lags"))
 
 
+def frame_autocorr_strips(spark, d):
+    """From samples straight to strips of five rows, without a row for a whole image."""
+    return rounded(correlate.autocorr_strips(fx.cube(spark, d), rows=5))
+
+
 def frame_autocorr_fft(spark, d):
     return rounded(correlate.autocorr(fx.cube_frames(spark, d)))
 
@@ -493,6 +498,7 @@ QUERIES = {
     "detrend_holes": detrend_holes,
     "frame_autocorr": frame_autocorr,
     "frame_autocorr_few": frame_autocorr_few,
+    "frame_autocorr_strips": frame_autocorr_strips,
     "frame_autocorr_fft": frame_autocorr_fft,
     "frame_autocorr_vec": frame_autocorr_vec,
     "frame_autocorr_events": frame_autocorr_events,
