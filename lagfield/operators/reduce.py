@@ -281,8 +281,7 @@ def total_sums(partials, keys=KEYS, reps=0, tile=False):
             for i, place in enumerate(rows):
                 lists = [batch[c][i].values.to_numpy() for c in arrays]
                 if place == held:
-                    values[0] += matrix[i]
-                    for total, more in zip(values[1], lists):
+                    for total, more in zip([values[0], *values[1]], [matrix[i], *lists]):
                         total += more
                 else:
                     if held is not None:

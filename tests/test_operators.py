@@ -341,3 +341,21 @@ def test_array_roundtrip_and_ragged(spark):
     broken = px.where("not (frame = 1 and y = 1 and x = 1)")
     got = {r.frame: r.pixels is None for r in layout.to_frames(broken).collect()}
     assert got == {0: False, 1: True}
+
+
+def test_a_series_of_many_parts(spark):
+    """Several groups of chunks of one series, each with sums of its own in tasks of their own."""
+    stack = rng.random((70, 5, 6)) + 1
+    df = frames_of(spark, a=stack)
+    whole = {(r.dy, r.dx): (r.g, r.g_sd, r.n_frames) for r in correlation_map(df, reps=3, chunk=128).collect()}
+    # small partitions would be merged, and the parts with them
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = correlation_map(df, reps=3, chunk=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = by_hand(stack, 3)
+    for r in parts:
+        g, sd, n = whole[r.dy, r.dx]
+        assert (r.g, r.g_sd, r.n_frames) == (pytest.approx(g, abs=1e-12), pytest.approx(sd, abs=1e-12), n)
+        assert r.g == pytest.approx(want[r.dy + 2, r.dx + 3], abs=1e-12)
