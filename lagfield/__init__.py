@@ -23,9 +23,10 @@ from lagfield.operators.rectangles import paint_rectangles, rectangle_range, til
 from lagfield.operators.reduce import bootstrap_sd, mean_map, pair_uncertainty
 from lagfield.operators.stats import brightness, frame_stats, intensity_trace, map_range, mean_projection
 from lagfield.operators.tiles import assign_tiles, paint_tiles, valid_tiles
-from lagfield.plans.correlation_job import correlation_map
+from lagfield.plans.correlation_job import correlation_map, stored_correlation_map
 from lagfield.plans.fit_job import fit_job
 from lagfield.plans.local_map import local_diffusion_map, local_fast_axis, tile_fits, tile_maps
+from lagfield.plans.store import store_chunks
 from lagfield.session import build_session
 from lagfield.sources.listing import list_inputs
 from lagfield.sources.metadata import extract_acq

@@ -8,32 +8,45 @@ from lagfield.operators.geometry import crop_center
 from lagfield.operators.layout import SeriesFacts, as_frames, number_frames, series_status, sound_frames
 from lagfield.operators.reduce import REPLICATES, draw_weights, finish_sums, partial_sums
 from lagfield.schema import KEYS
+from lagfield.sources.chunks import read_chunks
 
 
 #: Frames whose sums meet in one task, as a multiple of the sums it gives out.
 SHRINK = 4
 
 
-def residual_chunks(frames, facts, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0, chunk=None):
-    """Images with their residual, drift-corrected and with bootstrap weights.
+def _group(reps):
+    """Chunks whose sums meet in one task."""
+    together = F.ceil(F.lit(SHRINK * (reps + 1)) / F.col("_span"))
+    return F.floor(F.col("chunk") / together).cast("int").alias("group")
 
-    ``frames`` are sound and numbered by position, ``facts`` theirs.  The images
-    are shuffled once, so that chunks of consecutive frames are together; as
-    many chunks go to one task as it takes for the sums over them to be smaller
-    than the images.  Weights and drift references are joined on the same
-    partitioning.
+
+def place_chunks(frames, facts, keys=KEYS, window=3, reps=0, chunk=None):
+    """Images copied to the chunks that need them, with the group of each chunk; series of several sizes are left out.
+
+    ``frames`` are sound and numbered by position, ``facts`` theirs.
     """
-    half = window // 2
     on = [*keys, "group"]
-    together = F.ceil(F.lit(SHRINK * (reps + 1)) / F.col("_span"))
-    group = F.floor(F.col("chunk") / together).cast("int").alias("group")
-    chunked = with_chunks(frames, window, chunk).select("*", group)
+    chunked = with_chunks(frames, window, chunk).select("*", _group(reps))
     low = int(chunk) if chunk is not None else CHUNK_FRAMES[0]
-    numbers = F.sequence(F.lit(0), F.floor((F.col("last") + half) / low).cast("int"))
-    chunked = chunked.join(facts.mixed().select(*keys, F.explode(numbers).alias("group")), on, "left_anti")
+    numbers = F.sequence(F.lit(0), F.floor((F.col("last") + window // 2) / low).cast("int"))
+    return chunked.join(facts.mixed().select(*keys, F.explode(numbers).alias("group")), on, "left_anti")
+
+
+def work_chunks(chunked, frames, facts, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0, placed=None):
+    """Images of :func:`place_chunks` with their residual, drift-corrected and with bootstrap weights.
+
+    ``frames`` are the same images without copies.  Weights and drift references join on the partitioning that the
+    chunks have.  ``placed`` holds the window, replicates and chunk length the chunks were placed with, if they are not
+    those of this call.
+    """
+    wide, group_reps, chunk = placed or (window, reps, None)
+    half = wide // 2
+    on = [*keys, "group"]
+    group = _group(group_reps)
     spans = facts.select("last", "height", "width")
     if reps:
-        weights = with_chunks(draw_weights(frames, keys, window, reps, seed, facts).join(spans, list(keys)), window, chunk)
+        weights = with_chunks(draw_weights(frames, keys, window, reps, seed, facts).join(spans, list(keys)), wide, chunk)
         # neighbours share frames, so a frame may come twice
         by_group = weights.select(*keys, group, F.struct("frame", "weights").alias("_of")).groupBy(*on).agg(
             F.map_from_entries(F.collect_set("_of")).alias("_by_frame")
@@ -52,6 +65,17 @@ def residual_chunks(frames, facts, keys=KEYS, window=3, drift=False, roi=None, r
     return chunk_residuals(chunked, on, window, align)
 
 
+def residual_chunks(frames, facts, keys=KEYS, window=3, drift=False, roi=None, reps=0, seed=0, chunk=None):
+    """Images with their residual, drift-corrected and with bootstrap weights.
+
+    The images are shuffled once, so that chunks of consecutive frames are
+    together; as many chunks go to one task as it takes for the sums over them
+    to be smaller than the images.
+    """
+    chunked = place_chunks(frames, facts, keys, window, reps, chunk)
+    return work_chunks(chunked, frames, facts, keys, window, drift, roi, reps, seed, (window, reps, chunk))
+
+
 def correlation_map(
     df,
     keys=KEYS,
@@ -92,3 +116,23 @@ def correlation_map(
     maps = finish_sums(partials, keys, bessel, window, reps)
     odd = series_status(images, keys, facts).withColumn("n_frames", F.lit(0).cast("long"))
     return maps.unionByName(odd, allowMissingColumns=True)
+
+
+def stored_correlation_map(
+    spark, table, window=3, drift=False, roi=None, bessel="reduced", reps=REPLICATES, seed=0, max_lag=None
+):
+    """:func:`correlation_map` of images that :func:`lagfield.sources.chunks.write_chunks` has stored.
+
+    The images lie in the partitioning the job works on, so none is shuffled, however often maps are made of them.
+    ``window`` may be at most the one they were stored for.
+    """
+    window = check_window(window)
+    stored = read_chunks(spark, table)
+    if window > stored.window:
+        raise ValueError(f"{table} was stored for windows up to {stored.window}")
+    facts = SeriesFacts(stored.frames, KEYS)
+    placed = (stored.window, stored.reps, stored.chunk)
+    residuals = work_chunks(stored.chunks, stored.frames, facts, KEYS, window, drift, roi, reps, seed, placed)
+    maps = finish_sums(partial_sums(residuals, KEYS, max_lag, reps), KEYS, bessel, window, reps)
+    odd = stored.status.withColumn("n_frames", F.lit(0).cast("long"))
+    return maps.unionByName(odd, allowMissingColumns=True)

@@ -586,3 +586,4 @@ still AS MATERIALIZED (SELECT * FROM dt)""",
 ORACLE["median3_pixels"] = ORACLE["median3"]
 ORACLE["map_range_pixels"] = ORACLE["map_range"]
 ORACLE["frame_autocorr_strips"] = ORACLE["frame_autocorr"]
+ORACLE["correlation_map_stored"] = ORACLE["correlation_map_job"]

@@ -1,5 +1,7 @@
 """Registered queries: every operator on data derived from the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lagfield.functions import paths, physics
@@ -16,9 +18,10 @@ from lagfield.operators import (
     stats,
     tiles,
 )
-from lagfield.plans.correlation_job import correlation_map
+from lagfield.plans.correlation_job import correlation_map, stored_correlation_map
 from lagfield.plans.fit_job import fit_job
 from lagfield.plans.local_map import local_diffusion_map, local_fast_axis, tile_fits, tile_maps, with_geometry
+from lagfield.plans.store import store_chunks
 from lagfield.schema import KEYS, TILE
 from lagfield.session import scratch_folder
 from lagfield.sources import listing, metadata, results, stacks
@@ -215,6 +218,13 @@ def correlation_map_wide(spark, d):
     return rounded(maps.select(*MAP))
 
 
+def correlation_map_stored(spark, d):
+    """Maps of images stored for wider windows in the partitioning of the job, which shuffles none."""
+    table = f"chunks_{uuid.uuid4().hex}"
+    store_chunks(fx.cube_frames(spark, d), table, window=5, chunk=4, gapless=True, path=scratch_folder(spark, "chunks"))
+    return rounded(stored_correlation_map(spark, table, seed=7).drop("height", "width"))
+
+
 def correlation_map_faults(spark, d):
     """Damaged images leave the average; series with faulty keys or sizes have a status row."""
     return rounded(correlation_map(fx.faulty(fx.cube_frames(spark, d)), seed=7).select(*MAP))
@@ -517,6 +527,7 @@ QUERIES = {
     "correlation_map_holes": correlation_map_holes,
     "correlation_map_none": correlation_map_none,
     "correlation_map_wide": correlation_map_wide,
+    "correlation_map_stored": correlation_map_stored,
     "correlation_map_faults": correlation_map_faults,
     "series_status": series_status_query,
     "drift_faults": drift_faults,
