@@ -11,6 +11,7 @@ from lagfield.llm import mixing, ngram_join, packing
 from lagfield.llm.components import connected_components
 from lagfield.llm.exact_dedup import drop_copies, exact_dedup_files, remember
 from lagfield.llm.quality import quality_rules
+from lagfield.llm.shingles import mix
 from tests.llm import plain
 from tests.llm.conftest import fold, plain_words
 
@@ -225,6 +226,44 @@ def test_connected_components(spark):
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}, -3: -4, -4: -4}
 
 
+def test_rare_shingles_travel_as_bits_and_a_place():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 2**63, n).tolist() for n in (3, 0, 5, 2)] + [[-5, 7]]
+    # numbers of two files, one after the other
+    places = pa.array([4, 5, 6, 7 + (1 << 33), 8 + (1 << 33)], pa.int64())
+    batch = pa.RecordBatch.from_arrays([places, pa.array(lists, pa.list_(pa.int64()))], names=["at", "few"])
+    got = set()
+    for part in ngram_join._packed([batch]):
+        for bucket, first, keys, who in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            got |= {(bucket, key % 2**32, first + w) for key, w in zip(keys, who, strict=True)}
+    want = set()
+    for at, values in zip(places.to_pylist(), lists, strict=True):
+        bits = [int(v) >> 22 for v in mix(np.array(values, np.int64).view(np.uint64))]
+        want |= {(b >> 32, b % 2**32, at) for b in bits}
+    assert got == want
+
+
+def test_documents_that_surely_stay_are_not_shuffled(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, text if i < 3 else f"{text} {i} {i + 1} {i * 7} {i * i} x y {i}") for i in range(400)] + [(None, text)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = ngram_join.keep_one(docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r[0] is not None, r[0] or 0) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(False, 0), (True, 0)] + [(True, i) for i in range(3, 400)]
+    stay, doubtful = ngram_join._split(docs.withColumnRenamed("doc_id", "doc"), spark.createDataFrame([(1,), (2,)], "doc long"))
+    assert {1, 2} <= {r["doc"] for r in doubtful.collect()} and doubtful.count() < 10
+    assert stay.count() + doubtful.count() == 401
+    # the join that shuffles whole rows has only the doubtful ones on its left
+    assert plan.count("LeftAnti") == 1 and "Union" in plan
+
+
 # mixing
 
 
