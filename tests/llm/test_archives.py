@@ -262,6 +262,20 @@ def test_encoder_equals_whole_texts():
         assert [x.tolist() for x in encoder.encode(texts)] == encoder.whole(texts)
 
 
+def test_encoder_learns_letters_and_marks_apart(monkeypatch):
+    encoder = token_shards.WordEncoder(tokenizer())
+    asked = []
+    whole = encoder.whole
+    encoder.whole = lambda texts: asked.extend(w for t in texts for w in t.split()) or whole(texts)
+    texts = ["Abcd, abcd. ABCD!", "  abcd,. Ébc, ébc  12, abcd", " ", "<|ENDOFTEXT|> abcd|> H\u0331, K\u0327."]
+    got = [x.tolist() for x in encoder.encode(texts) + encoder.encode(["abcd? éBC!! abcd"])]
+    assert max(Counter(asked).values()) == 1
+    assert encoder.n == 14  # letters, marks and other words, each once; "abcd," and "abcd." are none of them
+    assert got == whole([*texts, "abcd? éBC!! abcd"])
+    monkeypatch.setattr(token_shards, "CACHE_WORDS", 3)  # all is forgotten and learned again
+    assert [encoder.encode([t])[0].tolist() for t in texts] == whole(texts)
+
+
 def test_perfect_hash():
     for n in (1, 2, 3, 7, 100, 1500):
         h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
