@@ -264,6 +264,46 @@ def test_documents_that_surely_stay_are_not_shuffled(spark):
     assert plan.count("LeftAnti") == 1 and "Union" in plan
 
 
+def test_only_doubtful_documents_meet_the_ids_that_go(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, text if i < 3 else f"{text} {i * 7} {i * i} x y {i} a b") for i in range(60)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = ngram_join.keep_one(docs)
+        lines = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert sorted(r[0] for r in kept.collect()) == [0, *range(3, 60)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    anti = next(i for i, line in enumerate(lines) if "Join LeftAnti" in line)
+    left = next(i for i in range(anti + 1, len(lines)) if depth(lines[i]) == depth(lines[anti]) + 3)
+    inner = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert left <= inner and depth(lines[inner]) > depth(lines[anti])
+
+
+def test_prefixes_avoid_shingles_that_meet_by_chance(spark, make, monkeypatch):
+    """Shingles of common words meet in different texts, though no block of a large table sees any of them twice."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abc") if rng.random() < 0.6 else f"r{rng.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", 1)
+    parts = [p for i in range(300) for p in ngram_join._read([batch.slice(i, 1)])]
+    read = spark.createDataFrame(pa.Table.from_batches(parts))
+    common = SimpleNamespace(value=ngram_join._common(read, 1 << 20))
+    holders = {}
+    for out in ngram_join._prefixes(common, 75, 8)([batch]):
+        for doc, few, many in zip(*(out.column(c).to_pylist() for c in ("doc", "few", "many")), strict=True):
+            for s in few + many:
+                holders.setdefault(s, set()).add(doc)
+    # of 300 texts, with the order of shingles by their hash alone, hundreds meet
+    assert sum(len(h) - 1 for h in holders.values()) < 30
+
+
 # mixing
 
 
