@@ -293,7 +293,7 @@ def test_prefixes_avoid_shingles_that_meet_by_chance(spark, make, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc", "text"])
     monkeypatch.setattr(ngram_join, "COUNT_BLOCK", 1)
     parts = [p for i in range(300) for p in ngram_join._read([batch.slice(i, 1)])]
-    read = spark.createDataFrame(pa.Table.from_batches(parts))
+    read = spark.createDataFrame(pa.Table.from_batches(parts).combine_chunks())
     common = SimpleNamespace(value=ngram_join._common(read, 1 << 20))
     holders = {}
     for out in ngram_join._prefixes(common, 75, 8)([batch]):
